@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe
-from kinfold.llm._shared import table
+from kinfold.llm import bpe, mixing, records
+from kinfold.llm._shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,23 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Write every text's identifiers to record files and describe what is read back."""
+    folder = shared_dir(spark)
+    records.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, path or public_tokenizers.path(WORD_BPE))
+    return records.read(spark, folder).select(
+        F.col("id").alias("doc_id"),
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Digests of the identifiers of every text and of the text decoded from them."""
     path = path or public_tokenizers.path(BYTE_BPE)
@@ -45,6 +62,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op5_token_records,
+        op6_source_mix,
         op7_bpe_codec,
         op8_token_counts,
     )
