@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, mixing, records
+from kinfold.llm import bpe, mixing, pii, records
 from kinfold.llm._shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,21 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of personal data in every text, all spans, and a digest of the base kinds' spans."""
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = pii.KINDS[:4]
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(*base))), 256)
+    return found.select("doc_id", *map(number, base), digest.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Write every text's identifiers to record files and describe what is read back."""
     folder = shared_dir(spark)
@@ -62,6 +77,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op2_pii_spans,
         op5_token_records,
         op6_source_mix,
         op7_bpe_codec,
