@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, mixing, pii, records
+from kinfold.llm import bpe, minhash, mixing, pii, records
 from kinfold.llm._shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
     )
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of every document's set of shingles and its class of near duplicates."""
+    found = minhash.classes(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op6_source_mix,
         op7_bpe_codec,
         op8_token_counts,
+        op10_minhash_dedup,
     )
 }
 
