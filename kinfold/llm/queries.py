@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, minhash, mixing, pii, records
+from kinfold.llm import bpe, labelled, minhash, mixing, pii, records, toxicity
 from kinfold.llm._shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str, folds: int = 3, held: int = 1, limit: float = 0.7) -> DataFrame:
+    """Every document's toxicity, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    teaches = labelled.fold(F.col("doc_id"), folds) != held
+    rows = labelled.teaching(docs, labels, "toxic", teaches)
+    marks = labels.filter(teaches & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return toxicity.score(docs, rows, marks).select(
+        "doc_id",
+        (labelled.fold(F.col("doc_id"), folds) == held).alias("held_out"),
+        "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"),
+    )
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of every document's set of shingles and its class of near duplicates."""
     found = minhash.classes(table(spark, sf_dir, "documents"))
@@ -89,6 +103,7 @@ QUERIES: dict[str, Query] = {
         op6_source_mix,
         op7_bpe_codec,
         op8_token_counts,
+        op9_toxicity,
         op10_minhash_dedup,
     )
 }
