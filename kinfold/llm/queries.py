@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, labelled, minhash, mixing, pii, records, toxicity
+from kinfold.llm import bpe, labelled, minhash, mixing, pii, quality, records, toxicity
 from kinfold.llm._shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,15 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, base), digest.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op4_quality_machine(spark: SparkSession, sf_dir: str, folds: int = 5, held: int = 0, limit: float = 0.3, sample: int = quality.SAMPLE) -> DataFrame:
+    """Every document's quality, learned from at most ``sample`` labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = labelled.fold(F.col("doc_id"), folds)
+    machine = quality.learn(labelled.teaching(docs, table(spark, sf_dir, "labels"), "quality", fold != held, sample))
+    scored = quality.score(docs, machine)
+    return scored.select("doc_id", (fold == held).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Write every text's identifiers to record files and describe what is read back."""
     folder = shared_dir(spark)
@@ -99,6 +108,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_pii_spans,
+        op4_quality_machine,
         op5_token_records,
         op6_source_mix,
         op7_bpe_codec,

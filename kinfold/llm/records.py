@@ -2,8 +2,9 @@
 
 A record file is a row of frames. A frame is the payload's length (unsigned 64-bit), the
 masked CRC-32C of those eight bytes, the payload, and the masked CRC-32C of the payload,
-all little-endian: the TFRecord layout. A payload is a 32-bit flag (1: the document has an
-id), the id (signed 64-bit), then the token identifiers (unsigned 32-bit). Beside each file
+all little-endian: the TFRecord layout. A payload is a flag byte (1: the document has an id),
+the width of its identifiers in bytes (2 if all are below 65,536, else 4), the id (signed
+64-bit), then the token identifiers (unsigned, of that width). Beside each file
 ``part-*.tfrecord`` lies ``part-*.idx``, the unsigned 64-bit offsets of its frames and its
 length, so that a shuffled reader can seek to any record.
 
@@ -37,9 +38,9 @@ CASTAGNOLI = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 
 #: Most chunks of text whose identifiers a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
-_HEAD, _HEAD_SIZE = "<Iq", 12
+_HEAD, _HEAD_SIZE = "<BBq", 10
 _BLOCK = 64
 
 
@@ -137,6 +138,12 @@ def payloads(data: bytes | memoryview, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
+def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """The document's id and its identifiers as unsigned 32-bit integers."""
+    flag, width, i = struct.unpack_from(_HEAD, payload)
+    return (i if flag else None), np.frombuffer(payload, f"<u{width}", offset=_HEAD_SIZE).astype("<u4")
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder that all machines share, and the path in it."""
     if "://" in uri:
@@ -150,9 +157,13 @@ class WordMemory(dict):
     A vocabulary that drops white space never joins what it parts: no normalisation, special
     string or piece reaches over an ASCII white-space character, so a text's identifiers are
     those of its stretches in a row. As the vocabulary lower-cases, stretches of ASCII are
-    asked for in lower case, unless the text may hold a special string.
+    asked for in lower case, unless the text may hold a special string; marks at the end of
+    letters are a piece of their own. New runs of letters go to the library many at a time
+    and are told apart by the identifiers that end a word.
     """
 
+    MARKS = b".,!?;:()|*$%&#"
+
     def __init__(self, file: bytes):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -161,6 +172,10 @@ class WordMemory(dict):
         self.library = Tokenizer.from_str(file.decode())
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab()
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def stretches(raw: bytes) -> list[bytes]:
@@ -170,11 +185,38 @@ class WordMemory(dict):
             return raw.lower().split()
         return [w.lower() if w.isascii() else w for w in raw.split()]
 
+    def packed(self, ids) -> bytes:
+        return np.asarray(ids, f"<u{self.width}").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        letters, others = [], []
+        for w in words:
+            (letters if w.decode().isalpha() else others).append(w)
+        for a in range(0, len(letters), 1000):
+            some = letters[a : a + 1000]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                data, width = self.packed(ids), self.width
+                for w, i, j in zip(some, [0, *ends.tolist()], ends.tolist(), strict=False):
+                    self[w] = data[i * width : j * width]
+            else:  # lower-casing made more than one piece of a word
+                others += some
+        for w, got in zip(others, self.library.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
+            self[w] = self.packed(got.ids)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [self.stretches(t) for t in texts]
-        new = list(set().union(*cut).difference(self))
-        for w, got in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(got.ids, "<u4").tobytes()
+        new = set().union(*cut).difference(self)
+        marked = {}
+        for w in new:
+            core = w.rstrip(self.MARKS)
+            if len(core) < len(w) and core.decode().isalpha():
+                marked[w] = core, w[len(core) :]
+        parts = {p for pair in marked.values() for p in pair}
+        self._learn([w for w in (new - marked.keys()) | parts if w not in self])
+        for w, (core, marks) in marked.items():
+            self[w] = self[core] + self[marks]
         get = self.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
         if len(self) > REMEMBERED:
@@ -199,10 +241,10 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     with open(path, "rb") as f:
         file = spark.sparkContext.broadcast(f.read())
-    end = np.array([end_id], "<u4").tobytes()
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, part = _word_memory(file.value), TaskContext.get().partitionId()
+        end, width = memory.packed([end_id]), memory.width
         stem = f"part-{part:07d}-{uuid.uuid4().hex}"
         offsets, tokens, at, out = [], 0, 0, None
         fs, root = open_folder(folder)
@@ -210,7 +252,7 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
             ids = batch.column(0).to_pylist()
             for first, texts in parcels(batch.column(1)):
                 rows = [
-                    struct.pack(_HEAD, 0 if i is None else 1, i or 0) + ids_of + end
+                    struct.pack(_HEAD, 0 if i is None else 1, width, i or 0) + ids_of + end
                     for i, ids_of in zip(ids[first : first + len(texts)], memory.encode(texts), strict=True)
                 ]
                 if out is None:
@@ -220,7 +262,7 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
                     out.write(frame)
                     offsets.append(at)
                     at += len(frame)
-                tokens += sum(len(r) - _HEAD_SIZE for r in rows) // 4
+                tokens += sum(len(r) - _HEAD_SIZE for r in rows) // width
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{root}/{stem}.idx") as index:
@@ -241,7 +283,10 @@ _RECORDS_ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("ids", p
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of ``folder``: id, identifiers before it in all files, and its own, as bytes.
+    """The records of ``folder``: id, identifiers before it in all files, and its own.
+
+    ``ids`` has them as the bytes of little-endian unsigned 32-bit integers, however wide
+    they are in the file.
 
     A file is a task of its own. The window over the manifest has a row for each file.
     """
@@ -260,13 +305,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     for a in range(0, len(offsets) - 1, step):
                         some = offsets[a : a + step + 1]
                         held = payloads(f.read_at(int(some[-1] - some[0]), int(some[0])), some - some[0])
-                        ids, starts = [], []
+                        ids, starts, sequences = [], [], []
                         for p in held:
-                            flag, i = struct.unpack_from(_HEAD, p)
-                            ids.append(i if flag else None)
+                            i, tokens = unpacked(p)
+                            ids.append(i)
                             starts.append(start)
-                            start += (len(p) - _HEAD_SIZE) // 4
-                        yield pa.RecordBatch.from_pydict({"id": ids, "start": starts, "ids": [p[_HEAD_SIZE :] for p in held]}, _RECORDS_ARROW)
+                            sequences.append(tokens.tobytes())
+                            start += len(tokens)
+                        yield pa.RecordBatch.from_pydict({"id": ids, "start": starts, "ids": sequences}, _RECORDS_ARROW)
 
     return files.repartition(max(1, manifest.count())).mapInArrow(records, RECORDS)
 
@@ -278,5 +324,4 @@ def record(folder: str, name: str, number: int) -> tuple[int | None, np.ndarray]
         pair = np.frombuffer(f.read_at(16, 8 * number), "<u8")
     with fs.open_input_file(f"{root}/{name}.tfrecord") as f:
         (payload,) = payloads(f.read_at(int(pair[1] - pair[0]), int(pair[0])), pair - pair[0])
-    flag, i = struct.unpack_from(_HEAD, payload)
-    return (i if flag else None), np.frombuffer(payload[_HEAD_SIZE :], "<u4")
+    return unpacked(payload)
