@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, labelled, minhash, mixing, pii, quality, records, toxicity
+from kinfold.llm import bpe, labelled, minhash, mixing, neighbours, pii, quality, records, toxicity
 from kinfold.llm._shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,13 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, base), digest.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of every vector and its class of near duplicates."""
+    found = neighbours.classes(table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op4_quality_machine(spark: SparkSession, sf_dir: str, folds: int = 5, held: int = 0, limit: float = 0.3, sample: int = quality.SAMPLE) -> DataFrame:
     """Every document's quality, learned from at most ``sample`` labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,6 +115,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_pii_spans,
+        op3_nn_descent,
         op4_quality_machine,
         op5_token_records,
         op6_source_mix,
