@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, labelled, minhash, mixing, neighbours, pii, quality, records, toxicity
+from kinfold.llm import bpe, labelled, minhash, mixing, neighbours, pii, quality, records, rules, toxicity
 from kinfold.llm._shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, the base checks, and the verdict of a learned list of rules."""
+    found, _ = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
+
+
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of personal data in every text, all spans, and a digest of the base kinds' spans."""
     found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
@@ -114,6 +122,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_quality_rules,
         op2_pii_spans,
         op3_nn_descent,
         op4_quality_machine,
