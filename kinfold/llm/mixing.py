@@ -116,3 +116,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     once_more = F.coalesce(row_hash(id_col, text_col) <= F.col("threshold"), F.lit(False))
     copies = F.least(F.col("base") + once_more.cast("long"), F.lit(int(MOST)))
     return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("mix_source", "base", "threshold")
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
+    mixed = mix(docs, **options).filter("copies > 0")
+    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
