@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,8 +67,24 @@ def parcels(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[b
 
 def ragged(values: pa.Array, sizes) -> pa.LargeListArray:
     """An Arrow list array of ``values`` cut into lists of ``sizes``."""
-    import numpy as np
-
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``keys`` in a partition that is sorted by them."""
+    rest = None
+    for batch in batches:
+        got = pa.Table.from_batches([batch])
+        got = got if rest is None else pa.concat_tables([rest, got])
+        changed = np.zeros(got.num_rows - 1, bool) if got.num_rows else np.zeros(0, bool)
+        for k in keys:
+            v = got[k].to_numpy()
+            changed |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield got.slice(a, b - a)
+        rest = got.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest

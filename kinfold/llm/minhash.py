@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import parcels, ragged, settle
+from kinfold.llm._shared import parcels, ragged, runs, settle
 from kinfold.llm.graph import components
 
 BANDS, ROWS = 40, 6
@@ -37,6 +37,11 @@ REMEMBERED = 400_000
 #: Bits of the filter by which documents in no pair are skipped; its size is fixed.
 FILTER_BITS = 1 << 25
 
+#: Nodes of a block in which a bucket of several components is compared.
+BLOCK = 1024
+#: How far below the threshold signatures of compared pairs may agree.
+MARGIN = 0.15
+
 _STEP = 256
 _U64 = np.uint64
 
@@ -169,6 +174,65 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(both * 100 >= whole * percent).select("a", "b").distinct()
 
 
+def _joining(group: pa.Table, percent: int, bands: int, rows: int) -> list[tuple[int, int]]:
+    """Links of one block of a bucket that join components."""
+    nodes, bucket = group["node"].to_pylist(), group["bucket"][0].as_py()
+    sets = [x.values.to_numpy().view(_U64) for x in group["shingles"]]
+    signed = np.stack([signature(h, bands * rows) for h in sets])
+    keys = np.stack([buckets(x, bands) for x in signed])
+    n = np.array([len(h) for h in sets])
+    names, label = np.unique(group["component"].to_numpy(), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    low, high = group["low"][0].as_py(), group["high"][0].as_py()
+    blocks = group["block"].to_numpy()
+    left = np.flatnonzero(blocks == low)
+    right = left if low == high else np.flatnonzero(blocks == high)
+    out = []
+    for i in left.tolist():
+        roots = np.array([root(c) for c in range(len(parent))])[label]
+        others = right[(right > i) & (roots[right] != roots[i])] if low == high else right[roots[right] != roots[i]]
+        others = others[(n[others] * 100 >= n[i] * percent) & (n[i] * 100 >= n[others] * percent)]
+        if not len(others):
+            continue
+        near = (signed[others] == signed[i]).mean(axis=1)
+        others = others[near >= percent / 100 - MARGIN]
+        same = keys[others] == keys[i]
+        others = others[keys[i][same.argmax(axis=1)] == bucket]  # else another bucket compares the two
+        for j in others.tolist():
+            a, b = root(int(label[i])), root(int(label[j]))
+            if a == b:
+                continue
+            at = np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)
+            both = int((sets[j][at] == sets[i]).sum())
+            if both * 100 >= (n[i] + n[j] - both) * percent:
+                parent[max(a, b)] = min(a, b)
+                out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+    return out
+
+
+def _between(labelled: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """Links (a, b) that join components within buckets of ``labelled`` (bucket, node, component)."""
+    sizes = labelled.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    spread = labelled.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["bucket", "low", "high"]
+    dealt = spread.join(sets, F.col("node") == F.col("id")).select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "shingles")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, keys):
+            found = _joining(group, percent, bands, rows) if group.num_rows > 1 else []
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(joined, "a long, b long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component) of every document: a component is its smallest id."""
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -187,17 +251,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     links = settle(_confirmed(stars, _sets(named, ends, width), percent))
     parts = components(links)
 
-    # Buckets in which more than one component is left: pairs across components.
-    labelled = shared.select("bucket", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Buckets in which more than one component is left.
+    labelled = shared.select("bucket", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     labelled = settle(labelled.join(mixed, "bucket", "left_semi"))
-    x, y = (labelled.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component"))) for s in "xy")
-    across = x.join(y, "bucket").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & sized("n_x", "n_y"))
-    across = across.select(F.col("node_y").alias("a"), F.col("node_x").alias("b")).distinct()
-    rest = settle(across.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        ends = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id")))
-        more = _confirmed(rest, _sets(named, ends, width), percent)
+    if not labelled.isEmpty():
+        more = _between(labelled, _sets(named, labelled.select(F.col("node").alias("id")), width), percent, bands, rows)
         parts = components(links.unionByName(more))
 
     member = settle(of_set.select(F.col("set_key").alias("key"), "node").join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("component")))

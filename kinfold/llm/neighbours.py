@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import settle
+from kinfold.llm._shared import runs, settle
 from kinfold.llm.graph import components
 
 TABLES, BUCKET, LIST = 8, 256, 8
@@ -64,24 +64,6 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(near, at, 1).ravel())], schema=_EDGES_ARROW)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal ``keys`` in a partition that is sorted by them."""
-    rest = None
-    for batch in batches:
-        got = pa.Table.from_batches([batch])
-        got = got if rest is None else pa.concat_tables([rest, got])
-        changed = np.zeros(got.num_rows - 1, bool) if got.num_rows else np.zeros(0, bool)
-        for k in keys:
-            v = got[k].to_numpy()
-            changed |= v[1:] != v[:-1]
-        cuts = [0, *(np.flatnonzero(changed) + 1).tolist()]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield got.slice(a, b - a)
-        rest = got.slice(cuts[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def seeds(nodes: DataFrame, n: int, k: int) -> DataFrame:
     """Edges from each node to its nearest in ``TABLES`` bucketings of (id, dim, vector)."""
     bits = max(1, int(np.ceil(np.log2(max(2.0, n / (BUCKET / 4))))))
@@ -108,7 +90,7 @@ def seeds(nodes: DataFrame, n: int, k: int) -> DataFrame:
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "vector")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, keys):
+        for group in runs(batches, keys):
             if group.num_rows > 1:
                 yield _nearest(group["id"].to_numpy(), _matrix(group["vector"]), k)
 
@@ -132,7 +114,7 @@ def refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, others, cosines = [], [], []
-        for group in _groups(batches, ["w"]):
+        for group in runs(batches, ["w"]):
             if group.num_rows < 2:
                 continue
             x, i, last = _matrix(group["vector"]), group["id"].to_numpy(), group["last"].to_numpy()
@@ -192,7 +174,7 @@ def counted(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, others = [], []
-        for group in _groups(batches, keys):
+        for group in runs(batches, keys):
             i, n, x = group["id"].to_numpy(), group["copies"].to_numpy(), _matrix(group["vector"])
             side = group["block"].to_numpy() == group["low"].to_numpy()
             if group["low"][0].as_py() == group["high"][0].as_py():
