@@ -23,6 +23,8 @@ from kinfold.llm._shared import WORD, settle
 WEIGHTS = (5.0, 2.0, 1.0)
 #: What all targets share, and what a target can be at most, in multiples of the words there are.
 SHARED, MOST = 1.5, 2.0
+#: Sources up to so many (some 100 bytes each) go to every executor; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 #: Bits of the hash by which a bucket is split.
 BITS = 12
 
@@ -110,12 +112,15 @@ def thresholds(sized: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` of each document."""
     sized = settle(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row_hash(id_col, text_col).alias("hash")))
-    marks = thresholds(sized).withColumnRenamed("source", "mix_source")
-    rest = docs.drop("size", "source_size", "target", "base", "threshold", "copies", "taken", "mix_source")
-    joined = rest.withColumn("size", n_words(F.col(text_col))).join(marks, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
-    once_more = F.coalesce(row_hash(id_col, text_col) <= F.col("threshold"), F.lit(False))
+    marks = settle(thresholds(sized).withColumnRenamed("source", "mix_source"))
+    if marks.count() <= BROADCAST_SOURCES:
+        marks = F.broadcast(marks)
+    rest = docs.drop("size", "source_size", "target", "base", "threshold", "copies", "taken", "mix_source", "mix_hash")
+    rest = rest.withColumn("size", n_words(F.col(text_col))).withColumn("mix_hash", row_hash(id_col, text_col))
+    joined = rest.join(marks, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
+    once_more = F.coalesce(F.col("mix_hash") <= F.col("threshold"), F.lit(False))
     copies = F.least(F.col("base") + once_more.cast("long"), F.lit(int(MOST)))
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("mix_source", "base", "threshold")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("mix_source", "mix_hash", "base", "threshold")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
