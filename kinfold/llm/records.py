@@ -185,13 +185,19 @@ class WordMemory(dict):
             return raw.lower().split()
         return [w.lower() if w.isascii() else w for w in raw.split()]
 
+    @staticmethod
+    def one_piece(word: bytes) -> bool:
+        """Whether a word is letters, and stays so in lower case, where some become letter and mark."""
+        text = word.decode()
+        return text.isalpha() and (word.isascii() or text.lower().isalpha())
+
     def packed(self, ids) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
         letters, others = [], []
         for w in words:
-            (letters if w.decode().isalpha() else others).append(w)
+            (letters if self.one_piece(w) else others).append(w)
         for a in range(0, len(letters), 1000):
             some = letters[a : a + 1000]
             ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
@@ -211,7 +217,7 @@ class WordMemory(dict):
         marked = {}
         for w in new:
             core = w.rstrip(self.MARKS)
-            if len(core) < len(w) and core.decode().isalpha():
+            if len(core) < len(w) and self.one_piece(core):
                 marked[w] = core, w[len(core) :]
         parts = {p for pair in marked.values() for p in pair}
         self._learn([w for w in (new - marked.keys()) | parts if w not in self])
