@@ -72,6 +72,18 @@ class Vocabulary:
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
         self._library = None
+        ids = self.ids
+        self.of_byte = np.array([ids[c] for c in self.chars], np.int32)
+        self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in self.ranks]
+        keys = np.array([a << 32 | b for a, b, _ in self.merges], np.int64)
+        self._order = np.argsort(keys)
+        self._keys = keys[self._order]
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of identifiers; -1 if it has none."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where((self._keys[at] == keys) & (right >= 0), self._order[at], -1)
 
     def pieces(self, text: str) -> list[str]:
         """``text`` cut by the pattern, as the library does.
@@ -138,52 +150,70 @@ def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return total
 
 
-def merged_by_index(pieces: list[str], vocab: Vocabulary) -> list[list[int]]:
-    """The identifiers of each of ``pieces``, all merged together by ascending rank."""
-    ranks = vocab.ranks
-    held: list[str | None] = []
-    bounds = [0]
-    for piece in pieces:
-        held += vocab.symbols(piece)
-        bounds.append(len(held))
-        held.append(None)  # no pair reaches over a boundary
-    n = len(held)
-    left, right = [*range(-1, n - 1)], [*range(1, n + 1)]
-    where: dict[int, list[int]] = {}
-    for i, pair in enumerate(pairwise(held)):
-        if (r := ranks.get(pair)) is not None:
-            where.setdefault(r, []).append(i)
-    active = list(where)
-    heapq.heapify(active)
+def merged_by_index(pieces: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The identifiers of all ``pieces`` in a row, and how many each has.
+
+    All symbols stand in one array with links to their neighbours. The index has, for each
+    rank, the positions where its pair begins; a rank's positions are merged together.
+    """
+    raw = [p.encode() for p in pieces]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    symbol = np.append(vocab.of_byte[np.frombuffer(b"".join(raw), np.uint8)], np.int32(-1))
+    n = len(symbol) - 1  # stands for "no neighbour"
+    right, left = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    ends = np.cumsum(sizes)
+    right[ends[sizes > 0] - 1] = n
+    left[(ends - sizes)[sizes > 0]] = n
+    right[n] = left[n] = n
+    where: dict[int, list[np.ndarray]] = {}
+    active: list[int] = []
+
+    def enter(positions: np.ndarray) -> None:
+        """Add the pairs that begin at ``positions`` to the index."""
+        ranks = vocab.ranks_of(symbol[positions], symbol[right[positions]])
+        known = ranks >= 0
+        if not known.all():
+            positions, ranks = positions[known], ranks[known]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        positions, ranks = positions[order], ranks[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, some in zip(ranks[np.append(0, cuts)].tolist(), np.split(positions, cuts) if len(cuts) else [positions], strict=True):
+            if rank in where:
+                where[rank].append(some)
+            else:
+                where[rank] = [some]
+                heapq.heappush(active, rank)
+
+    enter(np.flatnonzero(right[:n] < n).astype(np.int32))
     while active:
         rank = heapq.heappop(active)
-        positions = where.pop(rank, None)
-        if positions is None:
+        found = where.pop(rank)
+        at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        a, b, joint = vocab.merges[rank]
+        follows = right[at]
+        at = at[(symbol[at] == a) & (symbol[follows] == b)]
+        if a == b and len(at) > 1:  # in a run of one symbol, a merge uses up the next place
+            taken, keep = -1, []
+            for i in at.tolist():
+                if i != taken:
+                    keep.append(i)
+                    taken = int(right[i])
+            at = np.array(keep, np.int32)
+        if not len(at):
             continue
-        positions.sort()
-        for i in positions:
-            j = right[i]
-            a = held[i]
-            if a is None or j >= n or (b := held[j]) is None or ranks.get((a, b)) != rank:
-                continue
-            held[i] = joint = a + b
-            held[j] = None
-            right[i] = k = right[j]
-            if k < n:
-                left[k] = i
-                if held[k] is not None and (r := ranks.get((joint, held[k]))) is not None:
-                    if r not in where:
-                        where[r] = []
-                        heapq.heappush(active, r)
-                    where[r].append(i)
-            h = left[i]
-            if h >= 0 and held[h] is not None and (r := ranks.get((held[h], joint))) is not None:
-                if r not in where:
-                    where[r] = []
-                    heapq.heappush(active, r)
-                where[r].append(h)
-    ids = vocab.ids
-    return [[ids[s] for s in held[a:b] if s is not None] for a, b in pairwise(bounds)]
+        gone = right[at]
+        after = right[gone]
+        symbol[at] = joint
+        symbol[gone] = -1
+        right[at] = after
+        left[after] = at
+        before = left[at]
+        enter(np.unique(np.concatenate([at[after < n], before[before < n]])))
+    kept = symbol[:n] >= 0
+    upto = np.append(0, np.cumsum(kept))
+    return symbol[:n][kept], upto[ends] - upto[ends - sizes]
 
 
 class CountMemory(dict):
@@ -210,11 +240,13 @@ class CountMemory(dict):
             total += sum(map(self.__getitem__, vocab.chunks(segment))) + (special is not None)
         return total
 
+    def clear(self) -> None:
+        super().clear()
+        self.of_piece.clear()
+
     def trim(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED or len(self.of_piece) > REMEMBERED:
             self.clear()
-        if len(self.of_piece) > REMEMBERED:
-            self.of_piece.clear()
 
 
 class EncodeMemory(dict):
@@ -226,23 +258,39 @@ class EncodeMemory(dict):
         self.of_piece: dict[str, bytes] = {}
         self.special = {s: np.array([i], np.int32).tobytes() for s, i in vocab.special.items()}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        vocab = self.vocab
-        cut = [[(vocab.chunks(segment), special) for segment, special in vocab.segments(text)] for text in texts]
-        new = set(chain.from_iterable(chunks for parts in cut for chunks, _ in parts)).difference(self)
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        vocab, new = self.vocab, set()
+        for text in texts:
+            for segment, _ in vocab.segments(text.decode()):
+                new.update(vocab.chunks(segment))
+        new.difference_update(self)
         pieces = {chunk: vocab.pieces(chunk) for chunk in new}
         fresh = list(set(chain.from_iterable(pieces.values())).difference(self.of_piece))
-        for piece, ids in zip(fresh, merged_by_index(fresh, vocab), strict=True):
-            self.of_piece[piece] = np.array(ids, np.int32).tobytes()
-        of_piece = self.of_piece
+        ids, counts = merged_by_index(fresh, vocab)
+        data, of_piece, at = ids.tobytes(), self.of_piece, 0
+        for piece, n in zip(fresh, counts.tolist(), strict=True):
+            of_piece[piece] = data[at : (at := at + 4 * n)]
         for chunk, parts in pieces.items():
-            self[chunk] = b"".join([of_piece[p] for p in parts])
-        get = self.__getitem__
-        return [b"".join([b"".join(map(get, chunks)) + (self.special[special] if special else b"") for chunks, special in parts]) for parts in cut]
+            self[chunk] = of_piece[parts[0]] if len(parts) == 1 else b"".join([of_piece[p] for p in parts])
+        del new, pieces, fresh
+        get, out = self.__getitem__, []
+        for text in texts:
+            parts = []
+            for segment, special in vocab.segments(text.decode()):
+                parts += map(get, vocab.chunks(segment))
+                if special:
+                    parts.append(self.special[special])
+            out.append(b"".join(parts))
+        return out
+
+    def clear(self) -> None:
+        super().clear()
+        self.of_piece.clear()
 
     def trim(self) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
+        """Forget chunks sooner than pieces: only pieces cost merges."""
+        if len(self) > REMEMBERED // 2:
+            super().clear()
         if len(self.of_piece) > REMEMBERED:
             self.of_piece.clear()
 
@@ -289,8 +337,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
         memory = _encode_memory(file.value)
         for batch in batches:
             rows: list[bytes] = []
-            for _, texts in parcels(batch):
-                rows += memory.encode([t.decode() for t in texts])
+            for _, texts in parcels(batch, 1 << 23):
+                rows += memory.encode(texts)
                 memory.trim()
             yield ragged(pa.array(np.frombuffer(b"".join(rows), np.int32)), [len(r) // 4 for r in rows])
 
