@@ -138,6 +138,14 @@ def part_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("p_partkey", S.jaro_column(*names).alias("jaro"), S.jaro_winkler_column(*names).alias("jaro_winkler"), S.token_set_column(*names).alias("token_set"))
 
 
+def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tokens of neighbouring part names stand for one another."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    found = part.join(other, "p_partkey").select("p_partkey", S.token_set_details(F.col("p_name"), F.col("next_name")).alias("t"))
+    return found.select("p_partkey", "t.score", "t.containment", F.array_join(F.transform("t.pairs", lambda p: F.concat_ws("=", p["a"], p["b"])), ",").alias("pairs"))
+
+
 # --- relational steps ---------------------------------------------------------------------
 
 
@@ -242,7 +250,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         email_normalize, phone_normalize, company_normalize, host_from, domain_pick, timestamp_parse, title_source_tidy,
-        placeholder_filter, name_split, soundex_keys, change_notes, part_similarity, quarantine_split, block_keys, block_pairs,
+        placeholder_filter, name_split, soundex_keys, change_notes, part_similarity, token_pairs, quarantine_split, block_keys, block_pairs,
         skipped_blocks, exhaustive_pairs, mailbox_edges, rule_refusals, scored_edges, connected_components, constrained_clusters,
         survivorship_events, true_pair_counts, precision_recall, threshold_sweep, clean_people, clean_review,
     )
