@@ -46,6 +46,35 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that Spark hands to a worker at once: with long texts, its own 64 MB a batch
+#: stand several times in an executor's memory.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Keep Arrow batches of ``df``'s session at ``BATCH_BYTES`` or what it has set below."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, None)
+    if not now or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+
+_MEMORIES: list = []
+
+
+def alone(memory):
+    """``memory``, after those of other operators in this worker have been emptied.
+
+    Workers live on from stage to stage; what they remember must not add up.
+    """
+    if not any(m is memory for m in _MEMORIES):
+        _MEMORIES.append(memory)
+    for other in _MEMORIES:
+        if other is not memory:
+            other.clear()
+    return memory
+
+
 def parcels(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
     """Row number of the first text, and texts of about ``limit`` bytes together.
 

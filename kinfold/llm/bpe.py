@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import parcels, ragged
+from kinfold.llm._shared import alone, parcels, ragged, small_batches
 
 #: Fixed value: how byte-level vocabularies of this family cut texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -307,6 +307,7 @@ def _encode_memory(file: bytes) -> EncodeMemory:
 
 def _shipped(spark: SparkSession, path: str):
     """The vocabulary file for the workers: 1 to 2 MB, whatever the input."""
+    small_batches(spark.range(0))
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -317,7 +318,7 @@ def count(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = _count_memory(file.value)
+        memory = alone(_count_memory(file.value))
         for batch in batches:
             totals: list[int] = []
             for _, texts in parcels(batch):
@@ -334,7 +335,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = _encode_memory(file.value)
+        memory = alone(_encode_memory(file.value))
         for batch in batches:
             rows: list[bytes] = []
             for _, texts in parcels(batch, 1 << 23):

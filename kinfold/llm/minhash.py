@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import parcels, ragged, runs, settle
+from kinfold.llm._shared import alone, parcels, ragged, runs, settle, small_batches
 from kinfold.llm.graph import components
 
 BANDS, ROWS = 40, 6
 #: Most words whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bits of the filter by which documents in no pair are skipped; its size is fixed.
 FILTER_BITS = 1 << 25
 
@@ -114,10 +114,11 @@ SKETCH = "struct<n_shingles:long,set_key:binary,buckets:array<long>>"
 
 def sketches(docs: DataFrame, text_col: str = "text", width: int = 4, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with ``sketch``: the size and a 128-bit key of the set, and its buckets."""
+    small_batches(docs)
 
     @F.arrow_udf(SKETCH)
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = _words()
+        memory = alone(_words())
         for batch in batches:
             sizes, keys, found, number = [], [], [], []
             for _, texts in parcels(batch):
@@ -152,7 +153,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, bits = _words(), np.unpackbits(chosen.value)
+        memory, bits = alone(_words()), np.unpackbits(chosen.value)
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()].astype(bool)))
             ids = batch.column(0)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm._shared import small_batches
+
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "address")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -138,6 +140,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def spans(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
     """``docs`` with the spans of each whole text; a column of that name is replaced."""
+    small_batches(docs)
 
     @F.arrow_udf(SPANS)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -150,6 +153,7 @@ def spans(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> Da
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with all spans of each text replaced by their kind in brackets."""
+    small_batches(docs)
 
     @F.arrow_udf("string")
     def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import parcels
+from kinfold.llm._shared import alone, parcels, small_batches
 
 #: Most labelled rows that the machine is fitted on.
 SAMPLE = 8_000
 BUCKETS, FACTORS, EPOCHS = 1 << 14, 6, 12
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _MARKS = b".,!?;:()[]{}\"'|*$%&#<>=_-"
 _DROP = {
@@ -141,10 +141,11 @@ FEATURES = "struct<numbers:array<int>,values:array<float>>"
 
 def learn(rows: DataFrame) -> Machine:
     """A machine fitted on ``rows`` (text, label), whose number the caller bounds."""
+    small_batches(rows)
 
     @F.arrow_udf(FEATURES)
     def featured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = _buckets()
+        memory = alone(_buckets())
         for batch in batches:
             got = [features(t, memory) for _, texts in parcels(batch) for t in texts]
             numbers, values = (pa.array([g[i] for g in got], pa.list_(t)) for i, t in ((0, pa.int32()), (1, pa.float32())))
@@ -163,11 +164,12 @@ def learn(rows: DataFrame) -> Machine:
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the probability that a text is of label 1."""
+    small_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast(machine)  # 1 MB, whatever the input
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory, machine = _buckets(), model.value
+        memory, machine = alone(_buckets()), model.value
         for batch in batches:
             out = []
             for _, texts in parcels(batch):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import parcels
+from kinfold.llm._shared import alone, parcels, small_batches
 
 #: The reflected Castagnoli polynomial and the mask of the record format.
 CASTAGNOLI = 0x82F63B78
@@ -245,11 +245,12 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
     of ``docs`` are not written.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     with open(path, "rb") as f:
         file = spark.sparkContext.broadcast(f.read())
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, part = _word_memory(file.value), TaskContext.get().partitionId()
+        memory, part = alone(_word_memory(file.value)), TaskContext.get().partitionId()
         end, width = memory.packed([end_id]), memory.width
         stem = f"part-{part:07d}-{uuid.uuid4().hex}"
         offsets, tokens, at, out = [], 0, 0, None

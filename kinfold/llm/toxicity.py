@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import parcels, settle
+from kinfold.llm._shared import alone, parcels, settle, small_batches
 from kinfold.llm.labelled import WordIds, platt
 
 DISCOUNT = 0.75
@@ -59,7 +59,7 @@ def contexts(rows: DataFrame) -> DataFrame:
     """(u, w, toxic, ordinary): whether word w follows u in each class of ``rows`` (text, label)."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _word_ids()
+        memory = alone(_word_ids())
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for first, texts in parcels(batch.column(0), 1 << 23):
@@ -107,7 +107,7 @@ def evidence(docs: DataFrame, words: list, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("double")
     def weighed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = _word_ids()
+        memory = alone(_word_ids())
         known = np.array([w for w, _ in model.value], np.int64)
         of_known = np.array([e for _, e in model.value], np.float64)
         for batch in batches:
@@ -139,6 +139,7 @@ def score(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
     ``rows`` (text, label) teach the models and ``labels`` (doc_id, label) the curve; both
     must leave out what is held out.
     """
+    small_batches(docs)
     words = telling_words(contexts(rows))
     weighed = settle(evidence(docs.select("doc_id", "text"), words).select("doc_id", "evidence"))
     bars = weighed.join(labels, "doc_id").groupBy(F.round(F.col("evidence") * 50).cast("int").alias("bar")).agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
