@@ -3,9 +3,12 @@
 A graph of each vector's nearest neighbours is seeded and then refined: a vector's
 neighbours, and some of those that have it as a neighbour, are compared with one another,
 and what comes nearer than a list's last replaces it. Seeds come from buckets of random
-hyperplanes, in which a vector takes its nearest; a bucket that grows too large is dealt
-out by hash. Rounds end when few lists change and an audit, a sample of vectors against all
-rows, finds its links within the components of the graph; else lists grow.
+hyperplanes, in which a vector takes its nearest; there are as many bucketings as a pair at
+the threshold needs to meet, more in larger tables, and a bucket that grows too large is
+parted by further planes, at last by hash. Rounds end when seeds of other planes, which hold
+rare links too, have no link between components, and an audit, a sample of vectors against
+all rows that grows until it holds enough links, finds them within components; else lists
+grow. If rounds run out, all pairs are compared.
 
 Edges of at least the threshold join vectors to components. A list that only holds such
 edges is saturated, its vector may have more links; so in components of more than two the
@@ -31,8 +34,12 @@ from kinfold.llm._shared import runs, settle
 from kinfold.llm.graph import components
 
 TABLES, BUCKET, LIST = 8, 256, 8
-#: Vectors of the audit, and what share of their links must lie within components.
+#: Planes that part a large bucket, and how probably a pair at the threshold shares a bucket.
+MORE, SEEDED = 16, 0.98
+#: Vectors of the audit at first, and what share of their links must lie within components.
 AUDITED, RECALL, ROUNDS = 200, 0.995, 6
+#: Links that an audit must hold, and vectors up to which it grows for them.
+LEAST, MOST_AUDITED = 200, 4096
 #: Vectors of a block when a component is compared with itself.
 BLOCK = 1024
 
@@ -64,29 +71,51 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(near, at, 1).ravel())], schema=_EDGES_ARROW)
 
 
-def seeds(nodes: DataFrame, n: int, k: int) -> DataFrame:
-    """Edges from each node to its nearest in ``TABLES`` bucketings of (id, dim, vector)."""
-    bits = max(1, int(np.ceil(np.log2(max(2.0, n / (BUCKET / 4))))))
+def tables(bits: int, threshold: float) -> int:
+    """How many bucketings of ``bits`` planes bring a pair at ``threshold`` together with probability ``SEEDED``."""
+    apart = float(np.arccos(np.clip(threshold, -1.0, 1.0))) / np.pi
+    return max(TABLES, int(np.ceil(np.log(1 - SEEDED) / np.log1p(-min((1 - apart) ** bits, 1 - 1e-9)))))
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                dims = batch.column(1).to_numpy()
-                codes = np.zeros((batch.num_rows, TABLES), np.int64)
-                for dim in np.unique(dims):
-                    mine = np.flatnonzero(dims == dim)
-                    planes = np.random.default_rng(int(dim)).normal(size=(int(dim), TABLES * bits))
-                    sides = (_matrix(batch.column(2).take(pa.array(mine))) @ planes > 0).reshape(len(mine), TABLES, bits)
-                    codes[mine] = sides @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(codes.tolist(), pa.list_(pa.int64()))], ["id", "dim", "vector", "codes"])
-
-    spread = nodes.mapInArrow(coded, "id long, dim int, vector array<float>, codes array<long>").select("id", "dim", "vector", F.posexplode("codes").alias("number", "code"))
-    spread = settle(spread)
-    sizes = spread.groupBy("dim", "number", "code").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
-    # A hash that differs from table to table parts what is too much for one bucket.
-    salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("id", "number"), F.ceil(F.col("n") / BUCKET))).otherwise(F.lit(0))
-    keys = ["dim", "number", "code", "salt"]
-    dealt = spread.join(sizes, ["dim", "number", "code"], "left").withColumn("salt", salt).drop("n")
+
+def seeds(nodes: DataFrame, n: int, k: int, threshold: float = 0.95, turn: int = 0) -> tuple[DataFrame, bool]:
+    """Edges from each node to its nearest in bucketings of (id, dim, vector), with planes of
+    their own each ``turn``, and whether a hash had to part buckets."""
+    bits = max(1, int(np.ceil(np.log2(max(2.0, n / (BUCKET / 4))))))
+    many = tables(bits, threshold)
+
+    def coder(with_vectors: bool):
+        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    dims = batch.column(1).to_numpy()
+                    codes = np.zeros((batch.num_rows, many, 2), np.int64)
+                    for dim in np.unique(dims):
+                        mine = np.flatnonzero(dims == dim)
+                        planes = np.random.default_rng([int(dim), turn]).normal(size=(int(dim), many * (bits + MORE)))
+                        sides = (_matrix(batch.column(2).take(pa.array(mine))) @ planes > 0).reshape(len(mine), many, bits + MORE)
+                        codes[mine, :, 0] = sides[:, :, :bits] @ (1 << np.arange(bits, dtype=np.int64))
+                        codes[mine, :, 1] = sides[:, :, bits:] @ (1 << np.arange(MORE, dtype=np.int64))
+                    own = [batch.column(0), batch.column(1), *([batch.column(2)] if with_vectors else [])]
+                    lists = [pa.array(codes[:, :, i].tolist(), pa.list_(pa.int64())) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*own, *lists], ["id", "dim", *(["vector"] if with_vectors else []), "codes", "finer"])
+
+        own = ["id", "dim", *(["vector"] if with_vectors else [])]
+        schema = "id long, dim int" + (", vector array<float>" if with_vectors else "") + ", codes array<long>, finer array<long>"
+        spread = nodes.mapInArrow(coded, schema).select(*own, F.posexplode(F.arrays_zip("codes", "finer")).alias("number", "c"))
+        return spread.select(*own, "number", F.col("c.codes").alias("code"), F.col("c.finer").alias("finer"))
+
+    # A bucket that is too large is parted by further planes, and what those leave too large by a hash.
+    codes = coder(False)
+    sizes = settle(codes.groupBy("dim", "number", "code").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET))
+    part = F.when(F.col("n").isNotNull(), F.pmod(F.col("finer"), F.least(F.lit(1 << MORE), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") * 4 / BUCKET)))).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+    def parted(rows: DataFrame) -> DataFrame:
+        return rows.join(sizes, ["dim", "number", "code"], "left").withColumn("part", part).drop("n", "finer")
+
+    still = settle(parted(codes.join(sizes, ["dim", "number", "code"], "left_semi")).groupBy("dim", "number", "code", "part").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET))
+    salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("id", "number", F.lit(turn)), F.ceil(F.col("n") / BUCKET))).otherwise(F.lit(0))
+    keys = ["dim", "number", "code", "part", "salt"]
+    dealt = parted(coder(True)).join(still, ["dim", "number", "code", "part"], "left").withColumn("salt", salt).drop("n")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "vector")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +123,7 @@ def seeds(nodes: DataFrame, n: int, k: int) -> DataFrame:
             if group.num_rows > 1:
                 yield _nearest(group["id"].to_numpy(), _matrix(group["vector"]), k)
 
-    return dealt.mapInArrow(near, EDGES)
+    return dealt.mapInArrow(near, EDGES), not still.isEmpty()
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
@@ -133,34 +162,74 @@ def refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return around.mapInArrow(compared, EDGES).dropDuplicates(["u", "v"])
 
 
-def audit(nodes: DataFrame, parts: DataFrame, threshold: float) -> float:
-    """Share of the links of a sample of nodes, found by brute force, that lie within components."""
-    n = nodes.count()
-    chosen = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < int(np.ceil(min(1.0, AUDITED / max(1, n)) * (1 << 20)))
-    asked = [(r.id, r.dim, r.vector) for r in nodes.filter(chosen).collect()]  # about AUDITED rows
-    if not asked:
-        return 1.0
+def _against(nodes: DataFrame, asked: list, threshold: float) -> DataFrame:
+    """(u, v, cosine, apart): links of the rows ``asked`` with all ``nodes`` (id, dim, vector, part), by brute force."""
     by_dim = {}
-    for dim in {d for _, d, _ in asked}:
-        some = [(i, v) for i, d, v in asked if d == dim]
-        by_dim[dim] = np.array([i for i, _ in some]), _matrix(pa.array([v for _, v in some], pa.list_(pa.float32())))
+    for dim in {r.dim for r in asked}:
+        some = [r for r in asked if r.dim == dim]
+        by_dim[dim] = np.array([r.id for r in some]), np.array([r.part for r in some]), _matrix(pa.array([r.vector for r in some], pa.list_(pa.float32())))
     sample = nodes.sparkSession.sparkContext.broadcast(by_dim)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(1).to_numpy()
-            for dim, (ids, x) in sample.value.items():
-                mine = np.flatnonzero(dims == dim)
-                if len(mine):
-                    held = batch.take(pa.array(mine))
-                    near = _matrix(held.column(2)) @ x.T
-                    a, b = np.nonzero(near >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[b]), pa.array(held.column(0).to_numpy()[a]), pa.array(near[a, b])], schema=_EDGES_ARROW)
-
-    true = nodes.select("id", "dim", "vector").mapInArrow(links, EDGES).filter("u <> v")
-    of_u, of_v = (parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "uv")
-    known = true.join(of_u, "u", "left").join(of_v, "v", "left").agg(F.count("*"), F.count_if(F.col("of_u") == F.col("of_v"))).first()
-    return known[1] / known[0] if known[0] else 1.0
+        for whole in batches:
+            for batch in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows, BLOCK)):
+                dims = batch.column(1).to_numpy()
+                for dim, (ids, parts, x) in sample.value.items():
+                    mine = np.flatnonzero(dims == dim)
+                    if len(mine):
+                        held = batch.take(pa.array(mine))
+                        near = _matrix(held.column(2)) @ x.T
+                        a, b = np.nonzero(near >= threshold)
+                        apart = held.column(3).to_numpy()[a] != parts[b]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[b]), pa.array(held.column(0).to_numpy()[a]), pa.array(near[a, b]), pa.array(apart)], ["u", "v", "cosine", "apart"])
+
+    return nodes.select("id", "dim", "vector", "part").mapInArrow(links, EDGES + ", apart boolean").filter("u <> v")
+
+
+def _parted(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``nodes`` with the component of each, its own id where it has none."""
+    return nodes.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").select("id", "dim", "vector", F.coalesce("part", "id").alias("part"))
+
+
+def _linked(edges: DataFrame, threshold: float) -> DataFrame:
+    return edges.filter(F.col("cosine") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def _crossing(links: DataFrame, parts: DataFrame) -> bool:
+    """Whether any of ``links`` (a, b) lies between different components."""
+    of_a, of_b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    placed = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    return not placed.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).isEmpty()
+
+
+def audit(nodes: DataFrame, parts: DataFrame, threshold: float) -> float | None:
+    """Share of the links of a sample of nodes, found by brute force, that lie within components.
+
+    The sample grows until it holds ``LEAST`` links. None, unknown, if even ``MOST_AUDITED``
+    nodes hold fewer and they are not all nodes; a table of fewer nodes is compared in full.
+    """
+    n, asked_for, placed = nodes.count(), AUDITED, _parted(nodes, parts)
+    while True:
+        whole = asked_for >= n
+        chosen = F.lit(True) if whole else F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 40)) < int(asked_for / n * (1 << 40))
+        asked = placed.filter(chosen).collect()  # about MOST_AUDITED rows at most
+        found = _against(placed, asked, threshold).agg(F.count("*"), F.count_if("apart")).first() if asked else (0, 0)
+        if whole or found[0] >= LEAST:
+            return 1 - found[1] / found[0] if found[0] else 1.0
+        if asked_for >= MOST_AUDITED:
+            return None if not found[1] else 1 - found[1] / found[0]
+        asked_for = min(8 * asked_for, MOST_AUDITED)
+
+
+def lost(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, cosine): all links between different components, by comparing every pair of nodes."""
+    placed = settle(_parted(nodes, parts))
+    slices, found = max(1, -(-placed.count() // MOST_AUDITED)), None
+    for i in range(slices):
+        asked = placed.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(slices)) == i).collect()
+        more = settle(_against(placed, asked, threshold).filter("apart").drop("apart"))
+        found = more if found is None else found.unionByName(more)
+    return found
 
 
 def counted(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
@@ -201,19 +270,31 @@ def classes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     nodes = settle(equal.select("key", "id", F.size("vector").alias("dim"), "copies", "vector"))
     bare = nodes.select("id", "dim", "vector")
     n = nodes.count()
-    k, lists = LIST, None
-    edges = settle(seeds(bare, n, k))
+    k, known, parts = LIST, None, None
+    edges, _ = seeds(bare, n, k, threshold)
+    edges = settle(edges)
     for turn in range(ROUNDS):
         lists = settle(_lists(edges, k))
         more = settle(refine(lists, nodes, k))
         new = more.join(lists, ["u", "v"], "left_anti").count()
+        known = _linked(edges, threshold).unionByName(_linked(more, threshold)) if known is None else known.unionByName(_linked(more, threshold))
         edges = lists.select("u", "v", "cosine").unionByName(more)
-        if turn == 0 and new * 1000 > max(100_000, n * k):  # the first round always changes much
+        few = new * 1000 <= max(100_000, n * k)
+        if turn == 0 and not few:  # the first round always changes much
             continue
-        parts = components(edges.filter(F.col("cosine") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
-        if audit(nodes, parts, threshold) >= RECALL:
-            break
+        parts = components(known)
+        fresh, hashed = seeds(bare, n, k, threshold, turn + 1)
+        fresh = settle(fresh)
+        if not _crossing(_linked(fresh, threshold), parts):
+            share = audit(bare, parts, threshold)
+            # An audit of too few links proves nothing: planes must have done without a hash then, or lists be at rest.
+            if (few or not hashed) if share is None else share >= RECALL:
+                break
+        known, edges = known.unionByName(_linked(fresh, threshold)), edges.unionByName(fresh)
         k *= 2
+    else:
+        parts = components(known)
+        parts = components(known.unionByName(_linked(lost(bare, parts, threshold), threshold)))
     counts = counted(nodes.select("id", "copies", "vector"), parts, threshold)
     member = nodes.select("key", F.col("id").alias("node"), "copies").join(parts, "node", "left").join(counts.withColumnRenamed("id", "node"), "node", "left")
     member = settle(member.select(F.col("key").alias("of_key"), F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))

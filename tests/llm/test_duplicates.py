@@ -79,3 +79,33 @@ def test_links(spark):
     assert all(got[i].n_links == 0 and got[i].component == i for i in range(900, 906))
     assert got[907].component == 906
     assert neighbours.classes(df.limit(0)).count() == 0
+
+
+def rare(n=1500, pairs=4):
+    """Vectors that link with nothing, but for ``pairs`` pairs, far apart in the order of ids."""
+    x = np.random.default_rng(8).normal(size=(n, 64)).astype(np.float32)
+    x[n - pairs :] = x[:pairs] * 2 + np.float32(0.2) * x[pairs : 2 * pairs]
+    return x
+
+
+def test_rare_links_outlast_poor_seeds(spark, monkeypatch):
+    """Seeds that only know neighbouring ids: no round finds the links, so all pairs must be compared."""
+    x = rare()
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    ring = spark.createDataFrame([(i, (i + 1) % len(x), 0.0) for i in range(len(x))], neighbours.EDGES)
+    kept = neighbours.seeds
+    monkeypatch.setattr(neighbours, "seeds", lambda *a: (ring, True) if isinstance(kept(*a), tuple) else ring)
+    monkeypatch.setattr(neighbours, "ROUNDS", 2)
+    got = {r.id: r for r in neighbours.classes(df).collect()}
+    assert {i for i, r in got.items() if r.n_links} == {*range(4), *range(len(x) - 4, len(x))}
+    assert all(got[len(x) - 4 + i].component == i for i in range(4))
+
+
+def test_an_audit_without_links_is_unknown(spark, monkeypatch):
+    x = rare(600, 0)
+    nodes = spark.createDataFrame([(int(i), 64, v.tolist()) for i, v in enumerate(x)], "id long, dim int, vector array<float>")
+    none = spark.createDataFrame([], "node long, component long")
+    assert neighbours.audit(nodes, none, 0.95) == 1.0  # compared in full
+    monkeypatch.setattr(neighbours, "AUDITED", 50)
+    monkeypatch.setattr(neighbours, "MOST_AUDITED", 100, raising=False)
+    assert neighbours.audit(nodes, none, 0.95) is None
