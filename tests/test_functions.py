@@ -89,3 +89,12 @@ def test_names(spark):
     assert (bob.first, bob.first_canonical, bob.display) == ("bob", "robert", "Bob O'Brien")
     assert (emile.display, emile.honorific, emile.suffix) == ("Emile McDonald III", "dr", "iii")
     assert none.last is None and none.notes[0].rule.startswith("placeholder")
+
+
+def test_the_whole_table_of_short_names():
+    from kinfold.functions import normalize, vocabulary
+
+    table = normalize.formal_names(vocabulary.NICKNAMES)
+    assert len(vocabulary.NICKNAMES) == 277 and len({formal for _, formal in vocabulary.NICKNAMES}) == 116
+    assert table["gene"] == ["eugene"] and table["becca"] == ["rebecca"] and table["nora"] == ["eleanor"]
+    assert table["bert"] == ["albert", "robert"] and table["sandra"] == ["alexandra", "sandra"]
