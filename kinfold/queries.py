@@ -154,19 +154,36 @@ def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the five kinds that SQL without a Soundex can make; ``all_block_keys`` has all seven."""
     keys = blocking.keyed(_matchable(spark, sf_dir))
     return keys.filter(~F.col("key").startswith("sound-company:") & ~F.col("key").startswith("domain-name:"))
 
 
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that share a key of ``block_keys``; ``all_block_pairs`` has those of all seven kinds."""
     keys = block_keys(spark, sf_dir)
     return blocking.blocked_pairs(keys, blocking.block_sizes(keys), Config().max_block_size)
 
 
 def skipped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large blocks among ``block_keys``; ``all_skipped_blocks`` has those of all seven kinds."""
     return blocking.skipped(blocking.block_sizes(block_keys(spark, sf_dir)), 8)
 
 
+def all_block_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of all seven kinds."""
+    return blocking.keyed(_matchable(spark, sf_dir))
+
+
+def all_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = all_block_keys(spark, sf_dir)
+    return blocking.blocked_pairs(keys, blocking.block_sizes(keys), Config().max_block_size)
+
+
+def all_skipped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.skipped(blocking.block_sizes(all_block_keys(spark, sf_dir)), 8)
+
+
 def exhaustive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("id"))
     return blocking.all_pairs(rows, Config().exhaustive_limit)
@@ -251,7 +268,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         email_normalize, phone_normalize, company_normalize, host_from, domain_pick, timestamp_parse, title_source_tidy,
         placeholder_filter, name_split, soundex_keys, change_notes, part_similarity, token_pairs, quarantine_split, block_keys, block_pairs,
-        skipped_blocks, exhaustive_pairs, mailbox_edges, rule_refusals, scored_edges, connected_components, constrained_clusters,
+        skipped_blocks, all_block_keys, all_block_pairs, all_skipped_blocks, exhaustive_pairs, mailbox_edges, rule_refusals, scored_edges, connected_components, constrained_clusters,
         survivorship_events, true_pair_counts, precision_recall, threshold_sweep, clean_people, clean_review,
     )
 }

@@ -32,3 +32,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_all_kinds_of_keys(spark):
+    kinds = {r.key.split(":")[0] for r in Q.QUERIES["all_block_keys"](spark, SF).collect()}
+    assert kinds == {"email", "local", "phone7", "sound-company", "domain-name", "company-initial", "name"}
+    pairs, some = ({(r.a, r.b) for r in Q.QUERIES[n](spark, SF).collect()} for n in ("all_block_pairs", "block_pairs"))
+    assert some < pairs
+    large, few = ({r.key for r in Q.QUERIES[n](spark, SF).collect()} for n in ("all_skipped_blocks", "skipped_blocks"))
+    assert few <= large
