@@ -50,9 +50,11 @@ STATISTICS = len(_DROP) + 8
 
 
 class Buckets(dict):
+    """Hashes of words; those of words without a letter are ``BUCKETS`` higher."""
+
     def __missing__(self, word: bytes) -> int:
         core = word.lower().strip(_MARKS) or word
-        self[word] = h = xxhash.xxh3_64_intdigest(core) % BUCKETS
+        self[word] = h = xxhash.xxh3_64_intdigest(core) % BUCKETS + (0 if _LETTER.search(word) else BUCKETS)
         return h
 
 
@@ -61,14 +63,13 @@ def _buckets() -> Buckets:
     return Buckets()
 
 
-def statistics(raw: bytes, words: list[bytes]) -> list[float]:
-    """Shares and logarithms that describe a text's structure and size."""
+def statistics(raw: bytes, words: list[bytes], bare: int) -> list[float]:
+    """Shares and logarithms that describe a text's structure and size; ``bare`` words have no letter."""
     n, k = len(raw), len(words)
     if not k:
         return [0.0] * STATISTICS
     shares = [8 * (n - len(raw.translate(None, drop))) / n for drop in _DROP.values()]
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    bare = sum(1 for w in words[:: max(1, k // 400)] if not _LETTER.search(w))
     return [
         *(min(s, 4.0) for s in shares),
         np.log1p(n) / 8,
@@ -77,7 +78,7 @@ def statistics(raw: bytes, words: list[bytes]) -> list[float]:
         2 * (1 - len(set(lines)) / len(lines)),
         2 * len(set(words)) / k,
         4 * sum(map(eq, words, words[1:])) / k,
-        min(2.0, 2 * bare / min(k, 400)),
+        min(2.0, 2 * bare / k),
         np.log1p(k / len(lines)) / 4,
     ]
 
@@ -85,10 +86,11 @@ def statistics(raw: bytes, words: list[bytes]) -> list[float]:
 def features(raw: bytes, memory: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and values of the features that are not zero."""
     words = raw.split()
-    dense = np.array(statistics(raw, words))
+    hashes = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
+    dense = np.array(statistics(raw, words, np.count_nonzero(hashes >= BUCKETS)))
     if not words:
         return np.arange(BUCKETS, BUCKETS + STATISTICS), dense
-    found, counts = np.unique(np.fromiter(map(memory.__getitem__, words), np.int64, len(words)), return_counts=True)
+    found, counts = np.unique(hashes % BUCKETS, return_counts=True)
     values = np.log1p(counts)
     values /= np.sqrt((values * values).sum())
     return np.concatenate([found, np.arange(BUCKETS, BUCKETS + STATISTICS)]), np.concatenate([values, dense])

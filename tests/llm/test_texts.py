@@ -122,6 +122,16 @@ def test_machine_in_linear_time():
     assert m.raw(n, x) == pytest.approx(m.bias + 0.1 * x.sum() + pairs)
 
 
+def test_words_without_a_letter_are_counted_in_the_whole_text():
+    def bare(words):
+        return quality.features(" ".join(words).encode(), quality.Buckets())[1][-2]
+
+    assert all(bare(["word", "|"] * k) == pytest.approx(1.0) for k in (10, 300, 400, 599, 5000))
+    assert bare(["word"] * 1601 + ["|"] * 3 + ["word"] * 396) == pytest.approx(2 * 3 / 2000)
+    found, _ = quality.features(b"one 12 | two", quality.Buckets())
+    assert (found < quality.BUCKETS).sum() == 4 and len(found) == 4 + quality.STATISTICS
+
+
 def test_toxicity(spark, graded, edge_docs, tmp_path):
     accuracy, got = held_out(spark, queries.op9_toxicity, graded, edge_docs, tmp_path, "toxic")
     assert accuracy > 0.95 and got[5001].score < 0.5
