@@ -15,9 +15,9 @@ turns it into a score. (Likelihoods of pairs given their first word were tried a
 loops of one text and its copies pass for telling pairs, so they are left out.)
 
 Null and empty texts have no evidence and score as texts that say nothing. Without labels of
-both classes all documents get the share of toxic rows as their score. What goes to the
-workers is bounded by ``MOST_WORDS``, the most telling words; the counts behind them are
-complete.
+both classes all documents get the share of toxic rows as their score. The telling words go
+to the workers whole while they are at most ``BROADCAST_WORDS``; more are joined with the
+distinct words of each text by a shuffle, so that none is left out.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ SHARED = 0.25
 #: How sure (in standard deviations) and how strong (a ratio's logarithm) a difference must be.
 SURE, STRONG = 4.0, 1.0
 STRETCH, SHORTEST = 50, 20
-MOST_WORDS = 200_000
+#: Words up to which the model goes to every worker, and in how many parts a word is joined beyond.
+BROADCAST_WORDS, SALTS = 200_000, 16
 REMEMBERED = 300_000
 
 
@@ -83,8 +84,8 @@ def _telling(toxic: Column, both: Column, share: Column) -> Column:
     return F.abs(toxic - both * share) >= F.lit(SURE) * F.sqrt(both * share + 0.25)
 
 
-def telling_words(pairs: DataFrame) -> list:
-    """(w, evidence) of the words whose continuation counts tell the classes apart."""
+def telling_words(pairs: DataFrame) -> DataFrame | list:
+    """(w, evidence) of all words whose continuation counts tell the classes apart; an empty list without both classes."""
     counted = pairs.groupBy("w").agg(F.count_if("toxic").cast("double").alias("toxic"), F.count_if("ordinary").cast("double").alias("ordinary"))
     words = settle(counted)
     t, o = words.agg(F.sum("toxic"), F.sum("ordinary")).first()
@@ -98,12 +99,32 @@ def telling_words(pairs: DataFrame) -> list:
 
     scored = words.withColumn("evidence", F.log(smoothed("toxic", t) / smoothed("ordinary", o)))
     scored = scored.filter(_telling(F.col("toxic"), both, F.lit(t / (t + o))) & (F.abs("evidence") >= STRONG))
-    return scored.orderBy(F.abs("evidence").desc(), "w").limit(MOST_WORDS).select("w", "evidence").collect()
+    return settle(scored.select("w", "evidence"))
 
 
-def evidence(docs: DataFrame, words: list, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``evidence``, the strongest stretch's difference of log-likelihoods a word."""
-    model = docs.sparkSession.sparkContext.broadcast(sorted((w, e) for w, e in words))
+def _strongest(each: np.ndarray) -> float:
+    """The strongest stretch of words of evidence ``each``, a word."""
+    n = len(each)
+    if n > STRETCH:
+        upto = np.concatenate([[0.0], np.cumsum(each)])
+        return float((upto[STRETCH:] - upto[:-STRETCH]).max() / STRETCH)
+    return float(each.sum() / max(n, SHORTEST))
+
+
+def _looked_up(ids: np.ndarray, known: np.ndarray, of_known: np.ndarray) -> np.ndarray:
+    """Evidence of each of ``ids``; ``known`` is sorted, other words have none."""
+    if not len(known):
+        return np.zeros(len(ids))
+    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    return np.where(known[at] == ids, of_known[at], 0.0)
+
+
+def evidence(docs: DataFrame, words: DataFrame | list, text_col: str = "text") -> DataFrame:
+    """``docs``, without their text, with ``evidence``, the strongest stretch's difference of log-likelihoods a word."""
+    if not isinstance(words, list) and words.count() > BROADCAST_WORDS:
+        return _evidence_by_join(docs, words, text_col)
+    rows = words if isinstance(words, list) else words.collect()
+    model = docs.sparkSession.sparkContext.broadcast(sorted((w, e) for w, e in rows))
 
     @F.arrow_udf("double")
     def weighed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -114,23 +135,44 @@ def evidence(docs: DataFrame, words: list, text_col: str = "text") -> DataFrame:
             out = []
             for _, texts in parcels(batch):
                 for text in texts:
-                    ids = _ids(text, memory)
-                    n = len(ids)
-                    if not n or not len(known):
-                        out.append(0.0)
-                        continue
-                    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-                    each = np.where(known[at] == ids, of_known[at], 0.0)
-                    if n > STRETCH:
-                        upto = np.concatenate([[0.0], np.cumsum(each)])
-                        out.append(float((upto[STRETCH:] - upto[:-STRETCH]).max() / STRETCH))
-                    else:
-                        out.append(float(each.sum() / max(n, SHORTEST)))
+                    out.append(_strongest(_looked_up(_ids(text, memory), known, of_known)))
+                if len(memory) > REMEMBERED:
+                    memory.clear()
+            yield pa.array(out, pa.float64())
+
+    return docs.withColumn("evidence", weighed(F.col(text_col))).drop(text_col)
+
+
+def _evidence_by_join(docs: DataFrame, words: DataFrame, text_col: str) -> DataFrame:
+    """``evidence`` with a model of any size: each text's distinct words meet it by a shuffle."""
+
+    @F.arrow_udf("array<int>")
+    def numbered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = alone(_word_ids())
+        for batch in batches:
+            out = []
+            for _, texts in parcels(batch):
+                out += [_ids(text, memory).astype(np.int32) for text in texts]
                 if len(memory) > REMEMBERED:
                     memory.clear()
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    @F.arrow_udf("double")
+    def weighed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, model in batches:
+            out = []
+            for mine, found in zip(ids, model, strict=True):
+                pairs = found.values if found.is_valid else None
+                known, of_known = (pairs.field(f).to_numpy(zero_copy_only=False) for f in ("w", "evidence")) if pairs is not None else (np.zeros(0, np.int32), np.zeros(0))
+                out.append(_strongest(_looked_up(mine.values.to_numpy(zero_copy_only=False), known, of_known)))
             yield pa.array(out, pa.float64())
 
-    return docs.withColumn("evidence", weighed(F.col(text_col)))
+    # A row's number holds once it is written. Common words are dealt out by salt.
+    rows = settle(docs.withColumn("_ids", numbered(F.col(text_col))).drop(text_col).withColumn("_row", F.monotonically_increasing_id()))
+    met = rows.select("_row", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).alias("_salt"), F.explode(F.array_distinct("_ids")).alias("w"))
+    salted = words.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = met.join(salted, ["w", "_salt"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("w", "evidence"))).alias("_model"))
+    return rows.join(found, "_row", "left").withColumn("evidence", weighed(F.col("_ids"), F.col("_model"))).drop("_row", "_ids", "_model")
 
 
 def score(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -139,6 +139,20 @@ def test_toxicity(spark, graded, edge_docs, tmp_path):
     assert toxicity.telling_words(toxicity.contexts(one)) == [] and toxicity.telling_words(toxicity.contexts(one.limit(0))) == []
 
 
+def test_no_telling_word_is_left_out(spark, graded, edge_docs, monkeypatch):
+    docs, labels = graded
+    words = toxicity.telling_words(toxicity.contexts(labelled.teaching(docs, labels, "toxic", F.lit(True))))
+    some = docs.select("doc_id", "text").unionByName(edge_docs.select((F.col("doc_id") + 5000).alias("doc_id"), "text"))
+    want = sorted((r.doc_id or -1, r.evidence) for r in toxicity.evidence(some, words).collect())
+    for name in ("MOST_WORDS", "BROADCAST_WORDS"):
+        monkeypatch.setattr(toxicity, name, 1, raising=False)
+    words = toxicity.telling_words(toxicity.contexts(labelled.teaching(docs, labels, "toxic", F.lit(True))))
+    got = sorted((r.doc_id or -1, r.evidence) for r in toxicity.evidence(some, words).collect())
+    assert len(got) == 414 and [d for d, _ in got] == [d for d, _ in want]
+    assert [e for _, e in got] == pytest.approx([e for _, e in want])
+    assert words.count() > 1
+
+
 def test_platt_and_folds(spark):
     a, b = labelled.platt([(0.0, 0.0, 90.0), (1.0, 10.0, 0.0)])
     assert a > 0 and 1 / (1 + 2.718281828 ** -(a + b)) > 0.8
