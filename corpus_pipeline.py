@@ -27,8 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each class of near duplicates (operator 10)."""
-    return minhash.dedup(docs)
+    """One document, that with the smallest id, of each class of near duplicates by shingles of five words (operator 10)."""
+    return minhash.dedup(docs, width=5)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

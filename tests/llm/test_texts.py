@@ -202,6 +202,15 @@ def test_pipeline(spark, graded, tmp_path):
     assert {r.doc_id for r in out.select("doc_id").collect()} <= kept and out.count() > 0
 
 
+def test_pipeline_takes_five_words(spark):
+    """Three words of 130 differ: alike by four words (115 of 139), not by five (111 of 141)."""
+    words = [f"w{i}" for i in range(130)]
+    other = [f"x{i}" if i in (30, 60, 90) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words))], "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
 def test_leaving_out_the_pipeline(monkeypatch):
     import importlib.util
 
