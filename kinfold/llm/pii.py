@@ -53,6 +53,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a number, with however many zeros before it, is at most 255."""
+    core = digits.lstrip("0")
+    return len(core) <= 3 and int(core or "0") <= 255
+
+
 def iban(text: str) -> bool:
     compact = text.replace(" ", "").upper()
     if not 15 <= len(compact) <= 34:
@@ -98,7 +104,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 at, parts = last, m[0].split(".")
                 for i in range(0, len(parts) - 3, 4):
                     width = sum(map(len, parts[i : i + 4])) + 3
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[i : i + 4]):
+                    if all(octet(p) for p in parts[i : i + 4]):
                         got["ip"].append(("ip", at, at + width))
                     at += width + 1
             if last >= spaced_end and (m := _SPACED.match(text, last)):
