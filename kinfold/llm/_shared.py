@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder, not yet made, below the one all machines of the cluster share.
 
-    The parent is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, is a temporary folder chosen and set for the session.
+    The parent is the session's ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests, is a temporary folder chosen and set for the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="kinfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{next(_SERIAL)}"
@@ -59,14 +63,41 @@ def small_batches(df: DataFrame) -> None:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
 
 
-_MEMORIES: list = []
+#: Bytes that a worker's memory of words may come to, by a rough count: an entry's share of
+#: the table and of its objects, and the letters themselves.
+REMEMBERED_BYTES, ENTRY_BYTES = 48 << 20, 160
 
 
-def alone(memory):
-    """``memory``, after those of other operators in this worker have been emptied.
+class Remembered(dict):
+    """Values by key, as a dictionary that ``trim`` empties beyond ``limit`` bytes.
 
-    Workers live on from stage to stage; what they remember must not add up.
+    ``grew`` is told what is entered. Each task begins with an empty memory and leaves one,
+    see ``for_task``; so memories of operators that a worker runs by turns don't add up.
     """
+
+    limit = REMEMBERED_BYTES
+
+    def __init__(self):
+        super().__init__()
+        self.size = 0
+
+    def grew(self, letters: int, entries: int = 1) -> None:
+        self.size += letters + ENTRY_BYTES * entries
+
+    def trim(self) -> None:
+        if self.size > self.limit:
+            self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
+
+_MEMORIES: list = []
+
+
+def alone(memory):
+    """``memory``, after those of other operators in this worker have been emptied."""
     if not any(m is memory for m in _MEMORIES):
         _MEMORIES.append(memory)
     for other in _MEMORIES:
@@ -75,6 +106,23 @@ def alone(memory):
     return memory
 
 
+def hand_back() -> None:
+    """Give memory that is free back to the machine, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+@contextmanager
+def for_task(memory: Remembered) -> Iterator[Remembered]:
+    """``memory`` for one task: empty afterwards, as workers live on from stage to stage."""
+    try:
+        yield memory
+    finally:
+        memory.clear()
+        hand_back()
+
+
 def parcels(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
     """Row number of the first text, and texts of about ``limit`` bytes together.
 

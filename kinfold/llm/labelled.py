@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm._shared import Remembered
+
 #: Labels up to so many rows (16 bytes each) go to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -25,25 +27,26 @@ def teaching(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit
     """(text, label) of the rows of ``docs`` that have a label and whose id passes ``keep``.
 
     ``keep`` is a condition on ``doc_id``. Several labels of a document count as the
-    highest, null ones not at all. With ``limit``, labels are thinned by a hash of the id
-    to about as many rows.
+    highest, null ones not at all. With ``limit``, at most as many labels are kept, those
+    with the smallest hashes of their ids.
     """
     chosen = labels.filter(keep & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     n = chosen.count()
     if limit is not None and n > limit:
-        chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(limit / n * (1 << 20)))
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         n = limit
     if n <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     return docs.filter(keep).select("doc_id", "text").join(chosen, "doc_id").select("text", "label")
 
 
-class WordIds(dict):
-    """31-bit hashes of words without the marks around them, in lower case; -1 for marks alone."""
+class WordIds(Remembered):
+    """63-bit hashes of words without the marks around them, in lower case; -1 for marks alone."""
 
     def __missing__(self, word: str) -> int:
         core = _EDGES.sub("", word)
-        self[word] = h = xxhash.xxh3_64_intdigest(core.encode()) & 0x7FFFFFFF if core else -1
+        self[word] = h = xxhash.xxh3_64_intdigest(core.encode()) & 0x7FFFFFFFFFFFFFFF if core else -1
+        self.grew(len(word))
         return h
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinfold.llm import labelled, mixing, pii, quality, queries, rules, toxicity
+from kinfold.llm import labelled, mixing, pii, quality, queries, rules
 
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -134,23 +134,7 @@ def test_words_without_a_letter_are_counted_in_the_whole_text():
 
 def test_toxicity(spark, graded, edge_docs, tmp_path):
     accuracy, got = held_out(spark, queries.op9_toxicity, graded, edge_docs, tmp_path, "toxic")
-    assert accuracy > 0.95 and got[5001].score < 0.5
-    one = spark.createDataFrame([("a b c", 0)], "text string, label int")
-    assert toxicity.telling_words(toxicity.contexts(one)) == [] and toxicity.telling_words(toxicity.contexts(one.limit(0))) == []
-
-
-def test_no_telling_word_is_left_out(spark, graded, edge_docs, monkeypatch):
-    docs, labels = graded
-    words = toxicity.telling_words(toxicity.contexts(labelled.teaching(docs, labels, "toxic", F.lit(True))))
-    some = docs.select("doc_id", "text").unionByName(edge_docs.select((F.col("doc_id") + 5000).alias("doc_id"), "text"))
-    want = sorted((r.doc_id or -1, r.evidence) for r in toxicity.evidence(some, words).collect())
-    for name in ("MOST_WORDS", "BROADCAST_WORDS"):
-        monkeypatch.setattr(toxicity, name, 1, raising=False)
-    words = toxicity.telling_words(toxicity.contexts(labelled.teaching(docs, labels, "toxic", F.lit(True))))
-    got = sorted((r.doc_id or -1, r.evidence) for r in toxicity.evidence(some, words).collect())
-    assert len(got) == 414 and [d for d, _ in got] == [d for d, _ in want]
-    assert [e for _, e in got] == pytest.approx([e for _, e in want])
-    assert words.count() > 1
+    assert accuracy > 0.95 and got[5001].score < 0.5 and len(got) == 412
 
 
 def test_platt_and_folds(spark):
