@@ -52,7 +52,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 #: Bytes of text that Spark hands to a worker at once: with long texts, its own 64 MB a batch
 #: stand several times in an executor's memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> None:
@@ -65,7 +65,7 @@ def small_batches(df: DataFrame) -> None:
 
 #: Bytes that a worker's memory of words may come to, by a rough count: an entry's share of
 #: the table and of its objects, and the letters themselves.
-REMEMBERED_BYTES, ENTRY_BYTES = 48 << 20, 160
+REMEMBERED_BYTES, ENTRY_BYTES = 24 << 20, 160
 
 
 class Remembered(dict):
@@ -93,19 +93,6 @@ class Remembered(dict):
         self.size = 0
 
 
-_MEMORIES: list = []
-
-
-def alone(memory):
-    """``memory``, after those of other operators in this worker have been emptied."""
-    if not any(m is memory for m in _MEMORIES):
-        _MEMORIES.append(memory)
-    for other in _MEMORIES:
-        if other is not memory:
-            other.clear()
-    return memory
-
-
 def hand_back() -> None:
     """Give memory that is free back to the machine, as far as the allocators can."""
     pa.default_memory_pool().release_unused()

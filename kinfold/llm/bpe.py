@@ -12,7 +12,9 @@ and looked up from then on. The two differ in how merges are found:
   identifier is ever made.
 
 Null texts count as empty, empty texts give no tokens, and rows keep their other columns;
-a column that has the name of a result is replaced by it.
+a column that has the name of a result is replaced by it. Repeated rows get equal results,
+an empty table gives none, and a text of any length is encoded whole: a worker holds one
+parcel of texts, or one text if that is longer, and a memory of bounded bytes.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain, pairwise
+from functools import cached_property, lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import alone, parcels, ragged, small_batches
+from kinfold.llm._shared import Remembered, for_task, parcels, ragged, small_batches
 
 #: Fixed value: how byte-level vocabularies of this family cut texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Most chunks that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 300_000
+#: Bytes of text whose new pieces are merged together.
+PARCEL = 1 << 22
 
 #: Where a cut at each space would cut a run of white space that the pattern keeps whole.
 _LONG_GAP = re.compile(r"\s\s(?:\s|\Z)")
@@ -63,22 +65,27 @@ class Vocabulary:
         to_char = printable_bytes()
         to_byte = {c: b for b, c in to_char.items()}
         self.file = file
-        self.ids: dict[str, int] = model["vocab"]
+        ids: dict[str, int] = model["vocab"]
         self.chars = [to_char[b] for b in range(256)]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ", 1)): r for r, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(to_byte[c] for c in t) for t, i in self.ids.items()}
+        self.bytes_of = {i: bytes(to_byte[c] for c in t) for t, i in ids.items()}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
         self._library = None
-        ids = self.ids
         self.of_byte = np.array([ids[c] for c in self.chars], np.int32)
-        self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in self.ranks]
-        keys = np.array([a << 32 | b for a, b, _ in self.merges], np.int64)
+        parts = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
+        self.merges = np.array([(ids[a], ids[b], ids[a + b]) for a, b in parts], np.int32)  # left, right and both, by rank
+        keys = self.merges[:, 0].astype(np.int64) << 32 | self.merges[:, 1]
         self._order = np.argsort(keys)
         self._keys = keys[self._order]
 
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        """The rank of each pair of symbols as text."""
+        merges = json.loads(self.file)["model"]["merges"]
+        return {tuple(m if isinstance(m, list) else m.split(" ", 1)): r for r, m in enumerate(merges)}
+
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of identifiers; -1 if it has none."""
         keys = left.astype(np.int64) << 32 | right
@@ -114,6 +121,11 @@ class Vocabulary:
         first, *rest = segment.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
+    def text_of(self, ids: list[int | None]) -> str:
+        """The text of identifiers; those that are not in the vocabulary give nothing."""
+        get = self.bytes_of.get
+        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+
     def symbols(self, piece: str) -> list[str]:
         chars = self.chars
         return [chars[b] for b in piece.encode()]
@@ -191,7 +203,7 @@ def merged_by_index(pieces: list[str], vocab: Vocabulary) -> tuple[np.ndarray, n
         rank = heapq.heappop(active)
         found = where.pop(rank)
         at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-        a, b, joint = vocab.merges[rank]
+        a, b, joint = vocab.merges[rank].tolist()
         follows = right[at]
         at = at[(symbol[at] == a) & (symbol[follows] == b)]
         if a == b and len(at) > 1:  # in a run of one symbol, a merge uses up the next place
@@ -216,22 +228,24 @@ def merged_by_index(pieces: list[str], vocab: Vocabulary) -> tuple[np.ndarray, n
     return symbol[:n][kept], upto[ends] - upto[ends - sizes]
 
 
-class CountMemory(dict):
-    """Token counts of chunks, worked out when first asked for."""
+class CountMemory(Remembered):
+    """Token counts of chunks and of the pieces they are cut into, worked out when first asked for."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         self.vocab = vocab
-        self.of_piece: dict[str, int] = {}
 
     def __missing__(self, chunk: str) -> int:
-        total, known = 0, self.of_piece
-        for piece in self.vocab.pieces(chunk):
-            n = known.get(piece)
+        total, parts = 0, self.vocab.pieces(chunk)
+        for piece in parts:
+            n = self.get(piece)
             if n is None:
-                n = known[piece] = merged_count(self.vocab.symbols(piece), self.vocab.ranks)
+                n = self[piece] = merged_count(self.vocab.symbols(piece), self.vocab.ranks)
+                self.grew(len(piece))
             total += n
-        self[chunk] = total
+        if len(parts) != 1:
+            self[chunk] = total
+            self.grew(len(chunk))
         return total
 
     def count(self, text: str) -> int:
@@ -240,22 +254,13 @@ class CountMemory(dict):
             total += sum(map(self.__getitem__, vocab.chunks(segment))) + (special is not None)
         return total
 
-    def clear(self) -> None:
-        super().clear()
-        self.of_piece.clear()
-
-    def trim(self) -> None:
-        if len(self) > REMEMBERED or len(self.of_piece) > REMEMBERED:
-            self.clear()
 
-
-class EncodeMemory(dict):
-    """Identifiers of chunks, as the bytes of 32-bit integers."""
+class EncodeMemory(Remembered):
+    """Identifiers of chunks and of the pieces they are cut into, as the bytes of 32-bit integers."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         self.vocab = vocab
-        self.of_piece: dict[str, bytes] = {}
         self.special = {s: np.array([i], np.int32).tobytes() for s, i in vocab.special.items()}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -264,15 +269,21 @@ class EncodeMemory(dict):
             for segment, _ in vocab.segments(text.decode()):
                 new.update(vocab.chunks(segment))
         new.difference_update(self)
-        pieces = {chunk: vocab.pieces(chunk) for chunk in new}
-        fresh = list(set(chain.from_iterable(pieces.values())).difference(self.of_piece))
-        ids, counts = merged_by_index(fresh, vocab)
-        data, of_piece, at = ids.tobytes(), self.of_piece, 0
-        for piece, n in zip(fresh, counts.tolist(), strict=True):
-            of_piece[piece] = data[at : (at := at + 4 * n)]
-        for chunk, parts in pieces.items():
-            self[chunk] = of_piece[parts[0]] if len(parts) == 1 else b"".join([of_piece[p] for p in parts])
-        del new, pieces, fresh
+        fresh, joint = set(), {}
+        for chunk in new:
+            parts = vocab.pieces(chunk)
+            fresh.update(parts)
+            if len(parts) != 1:  # else the chunk is its piece
+                joint[chunk] = parts
+        fresh.difference_update(self)
+        pieces = list(fresh)
+        ids, counts = merged_by_index(pieces, vocab)
+        data, at = ids.tobytes(), 0
+        for piece, n in zip(pieces, counts.tolist(), strict=True):
+            self[piece] = data[at : (at := at + 4 * n)]
+        for chunk, parts in joint.items():
+            self[chunk] = b"".join([self[p] for p in parts])
+        self.grew(len(data) + sum(map(len, pieces)) + 5 * sum(map(len, joint)), len(pieces) + len(joint))
         get, out = self.__getitem__, []
         for text in texts:
             parts = []
@@ -283,17 +294,6 @@ class EncodeMemory(dict):
             out.append(b"".join(parts))
         return out
 
-    def clear(self) -> None:
-        super().clear()
-        self.of_piece.clear()
-
-    def trim(self) -> None:
-        """Forget chunks sooner than pieces: only pieces cost merges."""
-        if len(self) > REMEMBERED // 2:
-            super().clear()
-        if len(self.of_piece) > REMEMBERED:
-            self.of_piece.clear()
-
 
 @lru_cache(maxsize=2)
 def _count_memory(file: bytes) -> CountMemory:
@@ -318,30 +318,39 @@ def count(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = alone(_count_memory(file.value))
-        for batch in batches:
-            totals: list[int] = []
-            for _, texts in parcels(batch):
-                totals += [memory.count(t.decode()) for t in texts]
-                memory.trim()
-            yield pa.array(totals, pa.int64())
+        with for_task(_count_memory(file.value)) as memory:
+            for batch in batches:
+                totals: list[int] = []
+                for _, texts in parcels(batch):
+                    totals += [memory.count(t.decode()) for t in texts]
+                    memory.trim()
+                yield pa.array(totals, pa.int64())
 
     return docs.withColumn(out_col, counted(F.col(text_col)))
 
 
+def _encoded(batch: pa.Array, memory: EncodeMemory) -> list[bytes]:
+    """The identifiers of each text of ``batch`` as bytes."""
+    rows: list[bytes] = []
+    for _, texts in parcels(batch, PARCEL):
+        rows += memory.encode(texts)
+        memory.trim()
+    return rows
+
+
+def _as_lists(rows: list[bytes]) -> pa.Array:
+    return ragged(pa.array(np.frombuffer(b"".join(rows), np.int32)), [len(r) // 4 for r in rows])
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the token identifiers of each whole text (array of int)."""
     file = _shipped(docs.sparkSession, path)
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = alone(_encode_memory(file.value))
-        for batch in batches:
-            rows: list[bytes] = []
-            for _, texts in parcels(batch, 1 << 23):
-                rows += memory.encode(texts)
-                memory.trim()
-            yield ragged(pa.array(np.frombuffer(b"".join(rows), np.int32)), [len(r) // 4 for r in rows])
+        with for_task(_encode_memory(file.value)) as memory:
+            for batch in batches:
+                yield _as_lists(_encoded(batch, memory))
 
     return docs.withColumn(out_col, encoded(F.col(text_col)))
 
@@ -356,12 +365,32 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "tex
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bytes_of = vocabulary(file.value).bytes_of
+        text_of = vocabulary(file.value).text_of
         for batch in batches:
-            out = []
-            for ids in batch:
-                held = ids.values.to_pylist() if ids.is_valid else []
-                out.append(b"".join([bytes_of.get(i, b"") for i in held]).decode("utf-8", "replace"))
-            yield pa.array(out, pa.string())
+            yield pa.array([text_of(ids.values.to_pylist() if ids.is_valid else []) for ids in batch], pa.string())
 
     return rows.withColumn(out_col, decoded(F.col(ids_col)))
+
+
+def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``docs`` with the identifiers of each text and the text that they alone decode to.
+
+    The same as ``decode`` after ``encode``, but one worker a task does both, so the
+    identifiers cross to Python and back once and one vocabulary stands in memory.
+    """
+    file = _shipped(docs.sparkSession, path)
+
+    @F.arrow_udf("struct<ids:array<int>,text:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with for_task(_encode_memory(file.value)) as memory:
+            text_of = memory.vocab.text_of
+            for batch in batches:
+                rows = _encoded(batch, memory)
+                texts = pa.array([text_of(np.frombuffer(r, np.int32).tolist()) for r in rows], pa.string())
+                yield pa.StructArray.from_arrays([_as_lists(rows), texts], ["ids", "text"])
+
+    made = f"_{ids_col}_{out_col}"
+    while made in docs.columns:
+        made += "_"
+    found = docs.withColumn(made, both(F.col(text_col)))
+    return found.withColumns({ids_col: F.col(made)["ids"], out_col: F.col(made)["text"]}).drop(made)

@@ -14,7 +14,13 @@ pair of similarity 0.8 meets in none with a probability of 5 in a million.
 Lower-casing touches A-Z only. With fewer words than a shingle has, the whole sequence is
 the one shingle; null texts and texts without words have an empty set and link with
 nothing. Rows without an id have a null component. Rows that share an id but not a text
-are judged by their text.
+are judged by their text. Repeated rows are copies of one another, of which the smallest id
+stays; an empty table gives no rows; other columns, whatever their names, pass untouched. A
+long text costs memory for the hashes of its own words only.
+
+What is dealt out by a key that many rows share, a common bucket or the hub of a large
+group, is an inner join whose large side Spark splits when it is skewed; counts are summed
+before they are dealt, and comparisons go by blocks of ``BLOCK`` nodes.
 """
 
 from __future__ import annotations
@@ -28,12 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import alone, parcels, ragged, runs, settle, small_batches
+from kinfold.llm._shared import Remembered, for_task, parcels, ragged, runs, settle, small_batches
 from kinfold.llm.graph import components
 
 BANDS, ROWS = 40, 6
-#: Most words whose hashes a worker remembers.
-REMEMBERED = 300_000
 #: Bits of the filter by which documents in no pair are skipped; its size is fixed.
 FILTER_BITS = 1 << 25
 
@@ -46,9 +50,10 @@ _STEP = 256
 _U64 = np.uint64
 
 
-class WordHashes(dict):
+class WordHashes(Remembered):
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self.grew(len(word))
         return h
 
 
@@ -118,21 +123,20 @@ def sketches(docs: DataFrame, text_col: str = "text", width: int = 4, bands: int
 
     @F.arrow_udf(SKETCH)
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = alone(_words())
-        for batch in batches:
-            sizes, keys, found, number = [], [], [], []
-            for _, texts in parcels(batch):
-                for text in texts:
-                    held = shingles(text, width, memory)
-                    sizes.append(len(held))
-                    keys.append(xxhash.xxh3_128_digest(held.tobytes()) if len(held) else None)
-                    number.append(bands if len(held) else 0)
-                    if len(held):
-                        found.append(buckets(signature(held, bands * rows), bands))
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), ragged(flat, number)], ["n_shingles", "set_key", "buckets"])
+        with for_task(_words()) as memory:
+            for batch in batches:
+                sizes, keys, found, number = [], [], [], []
+                for _, texts in parcels(batch):
+                    for text in texts:
+                        held = shingles(text, width, memory)
+                        sizes.append(len(held))
+                        keys.append(xxhash.xxh3_128_digest(held.tobytes()) if len(held) else None)
+                        number.append(bands if len(held) else 0)
+                        if len(held):
+                            found.append(buckets(signature(held, bands * rows), bands))
+                    memory.trim()
+                flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+                yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), ragged(flat, number)], ["n_shingles", "set_key", "buckets"])
 
     return docs.withColumn("sketch", sketched(F.col(text_col)))
 
@@ -149,19 +153,20 @@ def _filter(ids: DataFrame) -> np.ndarray:
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the documents whose id may be in ``nodes``, by one more read of the texts."""
-    chosen = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(nodes)))
+    chosen = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(nodes)).tobytes())  # 4 MB, however many nodes
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, bits = alone(_words()), np.unpackbits(chosen.value)
-        for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()].astype(bool)))
-            ids = batch.column(0)
-            for first, texts in parcels(batch.column(1)):
-                held = [shingles(t, width, memory).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(held)), ragged(pa.array(np.concatenate(held)), [len(h) for h in held])], ["id", "shingles"])
-                if len(memory) > REMEMBERED:
-                    memory.clear()
+        packed = np.frombuffer(chosen.value, np.uint8)
+        with for_task(_words()) as memory:
+            for batch in batches:
+                bit = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((packed[bit >> 3] << (bit & 7) & 128).astype(bool)))
+                ids = batch.column(0)
+                for first, texts in parcels(batch.column(1)):
+                    held = [shingles(t, width, memory).view(np.int64) for t in texts]
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(held)), ragged(pa.array(np.concatenate(held)), [len(h) for h in held])], ["id", "shingles"])
+                    memory.trim()
 
     return docs.filter("id is not null").select("id", "text", bit).mapInArrow(read, "id long, shingles array<long>")
 
@@ -218,9 +223,12 @@ def _joining(group: pa.Table, percent: int, bands: int, rows: int) -> list[tuple
 
 
 def _between(labelled: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
-    """Links (a, b) that join components within buckets of ``labelled`` (bucket, node, component)."""
-    sizes = labelled.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    spread = labelled.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
+    """Links (a, b) that join components within buckets of ``labelled`` (bucket, m, node, component).
+
+    A bucket's ``m`` nodes are dealt to blocks, and a pair of blocks is a task's group of at
+    most some ``2 * BLOCK`` nodes. Shipping a pair of blocks costs far less than comparing it.
+    """
+    spread = labelled.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["bucket", "low", "high"]
     dealt = spread.join(sets, F.col("node") == F.col("id")).select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "shingles")
@@ -236,12 +244,12 @@ def _between(labelled: DataFrame, sets: DataFrame, percent: int, bands: int, row
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component) of every document: a component is its smallest id."""
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     base = settle(sketches(named, "text", width, bands, rows).select("id", "sketch.*"))
     # One node for each set of shingles. Copies meet in partial sums before the shuffle.
     of_set = base.filter("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     spread = settle(of_set.select("node", "n", F.explode("buckets").alias("bucket")))
-    met = spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("bucket", "hub")
+    met = spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("bucket", "hub", "m")
     shared = settle(spread.join(met, "bucket"))
 
     def sized(n: str, m: str):
@@ -253,7 +261,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     parts = components(links)
 
     # Buckets in which more than one component is left.
-    labelled = shared.select("bucket", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = shared.select("bucket", "m", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     labelled = settle(labelled.join(mixed, "bucket", "left_semi"))
     if not labelled.isEmpty():
@@ -267,5 +275,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that are not the first of their component; rows without an id stay."""
-    gone = classes(docs, id_col, text_col, **options).filter("id <> component").select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone = classes(docs, id_col, text_col, **options).filter("id <> component").select(F.col("id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -9,7 +9,9 @@ by the hash's next bits, and only it, until it holds one hash. No document is so
 
 Null texts and texts without words have size 0 and are never chosen for their words. Null
 is a source of its own, the last. The hash is of id and text, so reruns agree, and rows
-that are alike in both are chosen together.
+that are alike in both are chosen together: a source misses its target by at most half the
+words of the rows that share one hash, which is half a document where ids differ. Columns of
+any name pass untouched, as rows travel as one value. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def n_words(text: Column) -> Column:
 
 
 def row_hash(id_col: str, text_col: str, seed: int = 6) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -109,21 +111,40 @@ def thresholds(sized: DataFrame) -> DataFrame:
     return goal.join(best, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "base", "threshold")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` of each document."""
-    sized = settle(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row_hash(id_col, text_col).alias("hash")))
-    marks = settle(thresholds(sized).withColumnRenamed("source", "mix_source"))
-    if marks.count() <= BROADCAST_SOURCES:
-        marks = F.broadcast(marks)
-    rest = docs.drop("size", "source_size", "target", "base", "threshold", "copies", "taken", "mix_source", "mix_hash")
-    rest = rest.withColumn("size", n_words(F.col(text_col))).withColumn("mix_hash", row_hash(id_col, text_col))
-    joined = rest.join(marks, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
-    once_more = F.coalesce(F.col("mix_hash") <= F.col("threshold"), F.lit(False))
-    copies = F.least(F.col("base") + once_more.cast("long"), F.lit(int(MOST)))
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("mix_source", "mix_hash", "base", "threshold")
-
-
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
-    mixed = mix(docs, **options).filter("copies > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+def _copies(once_more_at: Column, hashed: Column, base: Column) -> Column:
+    """How often a row of this hash is taken."""
+    once_more = F.coalesce(hashed <= once_more_at, F.lit(False))
+    return F.least(base + once_more.cast("long"), F.lit(int(MOST)))
+
+
+def _marks(sized: DataFrame) -> DataFrame:
+    """``thresholds`` as (of, mark), for a join by broadcast if the sources are few enough."""
+    marks = settle(thresholds(sized).select(F.col("source").alias("of"), F.struct("source_size", "target", "base", "threshold").alias("mark")))
+    return F.broadcast(marks) if marks.count() <= BROADCAST_SOURCES else marks
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", out_col: str = "mix") -> DataFrame:
+    """``docs`` without the text and with ``out_col`` (size, source_size, target, copies, taken).
+
+    Texts are read once; ids, sources, sizes and hashes are written and used from there on.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (text_col, out_col)))
+    narrow = docs.select(row.alias("row"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), row_hash(id_col, text_col).alias("hash"))
+    narrow = settle(narrow)
+    joined = narrow.join(_marks(narrow.select("source", "size", "hash")), F.col("source").eqNullSafe(F.col("of")), "left")
+    counted = joined.withColumn("copies", _copies(F.col("mark.threshold"), F.col("hash"), F.col("mark.base")))
+    found = F.struct("size", "mark.source_size", "mark.target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return counted.select("row", found.alias("found")).select("row.*", F.col("found").alias(out_col))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns.
+
+    Texts are read twice, to count and hash, then to hash and copy; they are written nowhere.
+    """
+    source, hashed = F.col(f"`{source_col}`"), row_hash(id_col, text_col)
+    marks = _marks(settle(docs.select(source.alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), hashed.alias("hash"))))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), source.alias("source"), hashed.alias("hash"))
+    joined = rows.join(marks, F.col("source").eqNullSafe(F.col("of")), "left")
+    taken = joined.withColumn("copies", _copies(F.col("mark.threshold"), F.col("hash"), F.col("mark.base"))).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

@@ -7,10 +7,14 @@ its structure and its size. The machine scores
 
 the last term being all pairwise interactions in time linear in the features. It is fitted
 by AdaGrad on the driver, on a sample of labelled rows of at most ``SAMPLE`` rows, chosen by
-a hash of the id; their features, some 2 KB a row, are all that is collected.
+a hash of the id; their features, 8 bytes for each of at most ``BUCKETS + STATISTICS`` that a
+text has, are all that is collected.
 
 Null texts count as empty. An empty text has no words and all statistics zero, and is scored
-like any other. With labels of one class only, or none, all scores are that class's share.
+like any other. With labels of one class only all scores are near that class (0.00005 from it),
+without any they are one half.
+Repeated rows and ties get equal scores; a repeated id teaches with each of its texts. An
+empty table gives none, and other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -26,12 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import alone, parcels, small_batches
+from kinfold.llm._shared import Remembered, for_task, parcels, small_batches
 
 #: Most labelled rows that the machine is fitted on.
 SAMPLE = 8_000
 BUCKETS, FACTORS, EPOCHS = 1 << 14, 6, 12
-REMEMBERED = 200_000
 
 _MARKS = b".,!?;:()[]{}\"'|*$%&#<>=_-"
 _DROP = {
@@ -49,12 +52,13 @@ _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 STATISTICS = len(_DROP) + 8
 
 
-class Buckets(dict):
+class Buckets(Remembered):
     """Hashes of words; those of words without a letter are ``BUCKETS`` higher."""
 
     def __missing__(self, word: bytes) -> int:
         core = word.lower().strip(_MARKS) or word
         self[word] = h = xxhash.xxh3_64_intdigest(core) % BUCKETS + (0 if _LETTER.search(word) else BUCKETS)
+        self.grew(len(word))
         return h
 
 
@@ -105,6 +109,13 @@ class Machine:
         self.linear = np.zeros(BUCKETS + STATISTICS)
         self.factors = rng.normal(0, 0.01, (BUCKETS + STATISTICS, FACTORS))
 
+    @classmethod
+    def flat(cls, share: float) -> Machine:
+        """A machine that scores every text alike, with the share of label 1."""
+        made = cls(share)
+        made.factors[:] = 0
+        return made
+
     def raw(self, numbers: np.ndarray, values: np.ndarray) -> float:
         v = self.factors[numbers]
         sums = values @ v
@@ -147,18 +158,21 @@ def learn(rows: DataFrame) -> Machine:
 
     @F.arrow_udf(FEATURES)
     def featured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = alone(_buckets())
-        for batch in batches:
-            got = [features(t, memory) for _, texts in parcels(batch) for t in texts]
-            numbers, values = (pa.array([g[i] for g in got], pa.list_(t)) for i, t in ((0, pa.int32()), (1, pa.float32())))
-            yield pa.StructArray.from_arrays([numbers, values], ["numbers", "values"])
+        with for_task(_buckets()) as memory:
+            for batch in batches:
+                got = []
+                for _, texts in parcels(batch):
+                    got += [features(t, memory) for t in texts]
+                    memory.trim()
+                numbers, values = (pa.array([g[i] for g in got], pa.list_(t)) for i, t in ((0, pa.int32()), (1, pa.float32())))
+                yield pa.StructArray.from_arrays([numbers, values], ["numbers", "values"])
 
     held = rows.select(featured("text").alias("x"), "label").select("x.*", "label").toArrow()
     if not held.num_rows:
-        return Machine()
+        return Machine.flat(0.5)
     labels = (held["label"].to_numpy() > 0).astype(float)
     if labels.min() == labels.max():
-        return Machine(float(labels[0]))
+        return Machine.flat(float(labels[0]))
     pairs = list(zip((x.values.to_numpy() for x in held["numbers"]), (x.values.to_numpy().astype(float) for x in held["values"]), strict=True))
     order = sorted(range(len(pairs)), key=lambda i: (xxhash.xxh3_64_intdigest(pairs[i][0].tobytes() + pairs[i][1].tobytes()), labels[i]))  # rows come in any order
     return Machine(labels.mean()).fit([pairs[i] for i in order], labels[order])
@@ -171,13 +185,13 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: st
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory, machine = alone(_buckets()), model.value
-        for batch in batches:
-            out = []
-            for _, texts in parcels(batch):
-                out += [machine.raw(*features(t, memory)) for t in texts]
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500))), pa.float64())
+        machine = model.value
+        with for_task(_buckets()) as memory:
+            for batch in batches:
+                out = []
+                for _, texts in parcels(batch):
+                    out += [machine.raw(*features(t, memory)) for t in texts]
+                    memory.trim()
+                yield pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500))), pa.float64())
 
     return docs.withColumn(out_col, scored(F.col(text_col)))

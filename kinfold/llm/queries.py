@@ -70,14 +70,15 @@ def op5_token_records(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Digests of the identifiers of every text and of the text decoded from them."""
     path = path or public_tokenizers.path(BYTE_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = bpe.decode(bpe.encode(docs, path).drop("text"), path, out_col="decoded")
+    back = bpe.encode_and_decode(docs, path)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -31,15 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import alone, parcels, small_batches
+from kinfold.llm._shared import Remembered, for_task, parcels, small_batches
 
 #: The reflected Castagnoli polynomial and the mask of the record format.
 CASTAGNOLI = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 
-#: Most chunks of text whose identifiers a worker remembers.
-REMEMBERED = 500_000
-
 _HEAD, _HEAD_SIZE = "<BBq", 10
 _BLOCK = 64
 
@@ -151,7 +148,7 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(uri.removeprefix("file:"))
 
 
-class WordMemory(dict):
+class WordMemory(Remembered):
     """Identifiers of stretches between white space, as bytes, from the ``tokenizers`` library.
 
     A vocabulary that drops white space never joins what it parts: no normalisation, special
@@ -225,8 +222,9 @@ class WordMemory(dict):
             self[w] = self[core] + self[marks]
         get = self.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
-        if len(self) > REMEMBERED:
-            self.clear()
+        added = new | parts
+        self.grew(2 * sum(map(len, added)), len(added))
+        self.trim()
         return out
 
 
@@ -250,7 +248,10 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
         file = spark.sparkContext.broadcast(f.read())
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, part = alone(_word_memory(file.value)), TaskContext.get().partitionId()
+        with for_task(_word_memory(file.value)) as memory:
+            yield from framed(batches, memory, TaskContext.get().partitionId())
+
+    def framed(batches: Iterator[pa.RecordBatch], memory: WordMemory, part: int) -> Iterator[pa.RecordBatch]:
         end, width = memory.packed([end_id]), memory.width
         stem = f"part-{part:07d}-{uuid.uuid4().hex}"
         offsets, tokens, at, out = [], 0, 0, None

@@ -43,6 +43,11 @@ def test_other_spans_and_redaction():
     assert pii.find("an ordinary account of 3 tokens: nothing secret.") == []
 
 
+def test_long_numbers():
+    assert pii.find("0" * 5000 + ".1.2.3") == [("ip", 0, 5006)]
+    assert pii.find("1" * 5000 + ".1.2.3") == [] and pii.find("256.1.2.3") == []
+
+
 def test_pii_edges(edge_docs):
     assert pii.redact(edge_docs).filter("text IS NULL").count() == 1
     assert pii.spans(edge_docs).columns == edge_docs.columns
@@ -147,13 +152,22 @@ def test_platt_and_folds(spark):
     assert [r[0] for r in got] == [zlib.crc32(b"7") % 5, 0]
 
 
+#: Names that operators use or return.
+CLASHES = ("size", "target", "base", "threshold", "copies", "taken", "mark", "of", "row", "hash", "copy", "mix", "found")
+
+
 def test_mix(spark, edge_docs):
     rng = random.Random(6)
     sizes = {"a": 900, "b": 60, "c": 300, None: 200}
     rows = [(i, " ".join(["w"] * rng.randint(0, 12)), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
-    got = mixing.mix(docs).collect()
-    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(5)).collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit("mine"))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [c for c in docs.columns if c not in ("text", "mix")] + ["mix"]
+    assert mixed.filter(" OR ".join(f"{c} <> 'mine'" for c in CLASHES if c != "mix")).isEmpty()
+    got = mixed.select("doc_id", "source", "mix.*").collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.mix.taken) for r in mixing.mix(docs.repartition(5)).collect())
     total = Counter()
     for r in got:
         total[r.source] += r.size
@@ -169,7 +183,10 @@ def test_mix(spark, edge_docs):
         target = 2 * total[s] if s in capped else weights[s] * level
         assert mine[0].target == pytest.approx(target) and mine[0].source_size == total[s]
         assert abs(sum(r.taken for r in mine) - target) <= 12 and all(r.taken <= 2 * r.size for r in mine)
-    assert mixing.repeated(docs).count() == sum(r.copies for r in got)
+    taken = mixing.repeated(docs)
+    assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in got)
+    assert taken.filter(" OR ".join(f"{c} <> 'mine'" for c in CLASHES)).isEmpty()
+    assert Counter(r.doc_id for r in taken.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
     assert mixing.mix(edge_docs).count() == edge_docs.count() and mixing.mix(edge_docs.limit(0)).count() == 0
 
 
