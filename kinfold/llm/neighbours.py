@@ -11,9 +11,11 @@ all rows that grows until it holds enough links, finds them within components; e
 grow. If rounds run out, all pairs are compared.
 
 Edges of at least the threshold join vectors to components. A list that only holds such
-edges is saturated, its vector may have more links; so in components of more than two the
-lists are enlarged to the whole component, compared block by block, and only counted. All
-links of a vector lie in its component, so the counts miss nothing that the components have.
+edges is saturated, as its vector may have more links: it has room for twice as many in the
+round that follows. However long, no list is sure to hold all links of a vector among many
+copies; so within components lists give way to the whole component, compared block by block,
+and only counted. All links of a vector lie in its component, so the counts miss nothing that
+the components have.
 
 Equal vectors become one node first. Vectors that are null, empty or zero, or hold null or
 non-finite components, link with nothing; nor do vectors of different lengths. Cosines are
@@ -100,7 +102,7 @@ def seeds(nodes: DataFrame, n: int, k: int, threshold: float = 0.95, turn: int =
                     yield pa.RecordBatch.from_arrays([*own, *lists], ["id", "dim", *(["vector"] if with_vectors else []), "codes", "finer"])
 
         own = ["id", "dim", *(["vector"] if with_vectors else [])]
-        schema = "id long, dim int" + (", vector array<float>" if with_vectors else "") + ", codes array<long>, finer array<long>"
+        schema = "id long, dim int" + (f", vector {nodes.schema['vector'].dataType.simpleString()}" if with_vectors else "") + ", codes array<long>, finer array<long>"
         spread = nodes.mapInArrow(coded, schema).select(*own, F.posexplode(F.arrays_zip("codes", "finer")).alias("number", "c"))
         return spread.select(*own, "number", F.col("c.codes").alias("code"), F.col("c.finer").alias("finer"))
 
@@ -126,19 +128,21 @@ def seeds(nodes: DataFrame, n: int, k: int, threshold: float = 0.95, turn: int =
     return dealt.mapInArrow(near, EDGES), not still.isEmpty()
 
 
-def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """Each node's ``k`` nearest among ``edges``."""
+def _lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Each node's ``k`` nearest among ``edges``, and twice as many if those are links all of them."""
     first = Window.partitionBy("u").orderBy(F.col("cosine").desc(), "v")
-    return edges.dropDuplicates(["u", "v"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k)
+    ranked = edges.dropDuplicates(["u", "v"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= 2 * k)
+    links = F.count_if(F.col("cosine") >= threshold).over(Window.partitionBy("u"))
+    return ranked.withColumn("room", F.when(links >= k, F.lit(2 * k)).otherwise(F.lit(k))).filter("place <= room")
 
 
 def refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Edges that neighbours of neighbours add to ``lists`` (u, v, cosine, place)."""
+    """Edges that neighbours of neighbours add to ``lists`` (u, v, cosine, place, room)."""
     back = Window.partitionBy("v").orderBy("place", F.xxhash64("u", "v"))
     reverse = lists.withColumn("n", F.row_number().over(back)).filter(F.col("n") <= k).select(F.col("v").alias("w"), F.col("u").alias("id"))
     met = lists.select(F.col("u").alias("w"), F.col("v").alias("id")).unionByName(reverse).distinct()
-    last = lists.groupBy("u").agg(F.min("cosine").alias("last"), F.count("*").alias("held"))
-    full = nodes.join(last, F.col("id") == F.col("u"), "left").select("id", "vector", F.when(F.col("held") >= k, F.col("last")).otherwise(F.lit(-2.0)).alias("last"))
+    last = lists.groupBy("u").agg(F.min("cosine").alias("last"), F.count("*").alias("held"), F.max("room").alias("room"))
+    full = nodes.join(last, F.col("id") == F.col("u"), "left").select("id", "vector", F.when(F.col("held") >= F.col("room"), F.col("last")).otherwise(F.lit(-2.0)).alias("last"))
     around = met.join(full, "id").select("w", "id", "last", "vector").repartition("w").sortWithinPartitions("w")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,7 @@ def _against(nodes: DataFrame, asked: list, threshold: float) -> DataFrame:
     by_dim = {}
     for dim in {r.dim for r in asked}:
         some = [r for r in asked if r.dim == dim]
-        by_dim[dim] = np.array([r.id for r in some]), np.array([r.part for r in some]), _matrix(pa.array([r.vector for r in some], pa.list_(pa.float32())))
+        by_dim[dim] = np.array([r.id for r in some]), np.array([r.part for r in some]), _matrix(pa.array([r.vector for r in some], pa.list_(pa.float64())))
     sample = nodes.sparkSession.sparkContext.broadcast(by_dim)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +268,9 @@ def counted(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
 def classes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """(id, n_links, component) of every row."""
     vector = F.col("vector")
-    named = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    element = rows.schema[vector_col].dataType.elementType.typeName()
+    kind = "array<float>" if element == "float" else "array<double>"  # as wide as it was given
+    named = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast(kind).alias("vector"))
     named = settle(named.withColumn("whole", sound(vector) & F.col("id").isNotNull()).withColumn("key", F.when(F.col("whole"), F.struct(F.xxhash64("vector"), F.hash("vector"), F.size("vector")))))
     equal = named.filter("whole").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
     nodes = settle(equal.select("key", "id", F.size("vector").alias("dim"), "copies", "vector"))
@@ -274,7 +280,7 @@ def classes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     edges, _ = seeds(bare, n, k, threshold)
     edges = settle(edges)
     for turn in range(ROUNDS):
-        lists = settle(_lists(edges, k))
+        lists = settle(_lists(edges, k, threshold))
         more = settle(refine(lists, nodes, k))
         new = more.join(lists, ["u", "v"], "left_anti").count()
         known = _linked(edges, threshold).unionByName(_linked(more, threshold)) if known is None else known.unionByName(_linked(more, threshold))

@@ -1,6 +1,7 @@
 """Operators 3 and 10 against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kinfold.llm import minhash, neighbours
 
@@ -109,3 +110,20 @@ def test_an_audit_without_links_is_unknown(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "AUDITED", 50)
     monkeypatch.setattr(neighbours, "MOST_AUDITED", 100, raising=False)
     assert neighbours.audit(nodes, none, 0.95) is None
+
+
+def test_vectors_in_double_precision(spark):
+    """What single precision would overflow or round to zero is told apart and linked."""
+    rows = [(1, [1e300, 1.0]), (2, [1e300, 1.0]), (3, [1.0, 1e300]), (4, [1e-300, 0.0]), (5, [2e-300, 0.0]), (6, [0.0, 0.0])]
+    found = {r.id: (r.n_links, r.component) for r in neighbours.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (3, 1), 2: (3, 1), 4: (3, 1), 5: (3, 1), 3: (0, 3), 6: (0, 6)}
+    assert neighbours.classes(spark.createDataFrame([], "vec_id long, embedding array<double>, id int, vector int")).count() == 0
+
+
+def test_dedup_keeps_other_columns(spark, edge_docs):
+    for name in ("id", "gone", "row", "component", "node", "sketch", "bucket"):
+        edge_docs = edge_docs.withColumn(name, F.lit("mine"))
+    kept = minhash.dedup(edge_docs)
+    assert kept.columns == edge_docs.columns and kept.filter("id <> 'mine' OR gone <> 'mine' OR component <> 'mine'").isEmpty()
+    assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [0, 1, 2, 3, 4, 5, 7, 7, 9, 10, 11]
+    assert kept.count() == 12 and minhash.dedup(edge_docs.limit(0)).count() == 0
