@@ -23,7 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     teaches = labelled.fold(F.col("doc_id"), 5) != 0
     machine = quality.learn(labelled.teaching(docs, table(spark, sf_dir, "labels"), "quality", teaches, quality.SAMPLE))
-    return quality.score(docs, machine, out_col="_quality").filter("_quality >= 0.3").select(*(F.col(f"`{c}`") for c in docs.columns))
+    score = "_" + max(docs.columns, key=len)  # no column's name
+    return quality.score(docs, machine, out_col=score).filter(F.col(f"`{score}`") >= 0.3).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token identifiers of each text and the text they decode to (operator 7)."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text")
-    return bpe.decode(ids, path).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    made = bpe.encode_and_decode(docs.select("doc_id", "source", "text"), path)
+    return made.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [
