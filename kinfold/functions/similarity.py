@@ -1,7 +1,8 @@
 """String similarity: Jaro, Jaro-Winkler and token sets, as plain functions and Arrow UDFs.
 
-Spark has none of them. The UDFs work on whole Arrow batches and remember pairs they have
-seen, as the same surnames and companies meet again and again. Null on either side is null.
+Spark has none of them. The UDFs work on whole Arrow batches and compare each distinct pair
+of a batch once, as the same surnames and companies meet again and again. Null on either
+side is null.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,11 +85,21 @@ def _token_score(a: str, b: str) -> float:
     return token_set(a, b)[0]
 
 
+def _codes(strings: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """A number for each string, -1 for null, and the strings they stand for."""
+    coded = strings.dictionary_encode()
+    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
 def _paired(function: Callable[[str, str], float]):
     @F.arrow_udf("double")
     def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            yield pa.array([None if a is None or b is None else function(a, b) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+            (i, of_i), (j, of_j) = _codes(left), _codes(right)
+            there = (i >= 0) & (j >= 0)
+            pairs, at = np.unique(np.where(there, i << 32 | j, -1), return_inverse=True)
+            scores = np.array([0.0 if p < 0 else function(of_i[p >> 32], of_j[p & 0xFFFFFFFF]) for p in pairs.tolist()], np.float64)
+            yield pa.array(scores[at], pa.float64(), mask=~there)
 
     return scored
 

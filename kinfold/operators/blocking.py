@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize as N
+from kinfold.operators.cut import cut
 from kinfold.operators.records import has_mailbox
 
 
@@ -52,11 +53,15 @@ def blocked_pairs(keys: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """Distinct (a, b), a before b, of records that share a key of at most ``most`` records.
 
     Sizes are known before the join, so no key brings more than ``most`` rows to it and
-    keys of one record bring none.
+    keys of one record bring none. A pair that shares several keys comes from the one with
+    the least hash alone, so pairs need not be dealt out again to be told apart.
     """
     held = keys.join(sizes.filter(F.col("size") <= most).select("key"), "key")
-    left, right = held.select("key", F.col("id").alias("a")), held.select("key", F.col("id").alias("b"))
-    return left.join(right, "key").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    of_id = cut(held.groupBy("id").agg(F.collect_set("key").alias("keys")))
+    rows = of_id.select("id", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashes"), F.explode("keys").alias("key"))
+    left, right = rows.select("key", F.col("id").alias("a"), F.col("hashes").alias("of_a")), rows.select("key", F.col("id").alias("b"), F.col("hashes").alias("of_b"))
+    met = left.join(right, "key").filter(F.col("a") < F.col("b"))
+    return met.filter(F.xxhash64("key") == F.array_min(F.array_intersect("of_a", "of_b"))).select("a", "b")
 
 
 def all_pairs(records: DataFrame, limit: int) -> DataFrame:

@@ -12,8 +12,10 @@ from kinfold.operators.cut import cut
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b); a component is its smallest id.
 
-    Large-star and small-star steps by turns until the edges stay as they are, some dozen
-    rounds for a chain of thousands.
+    Large-star and small-star steps by turns (Kiveris et al., 2014) until the edges stay as
+    they are, some dozen rounds for a chain of thousands. Each step sends an id's neighbours
+    to its smallest one, so no list of neighbours is ever gathered; minima are taken before
+    ids are dealt out, and Spark splits what an id with very many neighbours brings to a join.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None

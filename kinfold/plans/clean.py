@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -17,32 +16,122 @@ from kinfold.operators import blocking, clustering, metrics, records, scoring, s
 from kinfold.operators.cut import cut
 from kinfold.schema import FIELDS, as_constraints, as_rows
 
-#: Rows up to which a run is named by a hash of its ids; beyond, by an order-free digest.
-HASHED_IDS = 100_000
 
-
-@dataclass
 class Result:
-    """Tables of a run; all lazy but for what several of them share."""
-
-    config: Config
-    rows: DataFrame
-    constraints: DataFrame
-    records: DataFrame
-    quarantined: DataFrame
-    pairs: DataFrame
-    skipped_blocks: DataFrame
-    edges: DataFrame
-    membership: DataFrame
-    clusters: DataFrame
-    review: DataFrame
-    refused: DataFrame
-    below: DataFrame
+    """A run, each table of which is worked out when first asked for, and then kept.
+
+    ``records`` (all rows, normalized), ``quarantined``, ``pairs``, ``skipped_blocks``, ``edges``
+    (every pair's kind, score and route), ``membership``, ``clusters``, ``review``, ``refused``, ``below``.
+    """
+
+    def __init__(self, rows: DataFrame, config: Config, constraints: DataFrame | None):
+        self.config = config
+        self.rows = as_rows(rows)
+        self.constraints = as_constraints(constraints, self.rows)
+        self.records = cut(records.triaged(records.normalized(self.rows, config)))
+        records.require_unique(self.records)
+
+    @cached_property
+    def quarantined(self) -> DataFrame:
+        return self.records.filter(F.col("held_reason").isNotNull()).select("id", F.col("held_reason").alias("reason")).orderBy("id")
+
+    @cached_property
+    def matchable(self) -> DataFrame:
+        return self.records.filter(F.col("held_reason").isNull())
+
+    @cached_property
+    def _keys(self) -> DataFrame:
+        return cut(blocking.keyed(self.matchable))
+
+    @cached_property
+    def _sizes(self) -> DataFrame:
+        return cut(blocking.block_sizes(self._keys))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        if self.config.blocking:
+            return cut(blocking.blocked_pairs(self._keys, self._sizes, self.config.max_block_size))
+        return cut(blocking.all_pairs(self.matchable, self.config.exhaustive_limit))
+
+    @cached_property
+    def skipped_blocks(self) -> DataFrame:
+        if self.config.blocking:
+            return blocking.skipped(self._sizes, self.config.max_block_size)
+        return self.rows.sparkSession.createDataFrame([], "key string, size long")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut(scoring.routed(self.pairs, self._sides, self.constraints, self.config))
+
+    @cached_property
+    def _sides(self) -> DataFrame:
+        """What pairs need of records, by themselves: small enough to be sent where the pairs are, more often."""
+        return cut(scoring.sides(self.matchable))
+
+    def explained(self, edges: DataFrame) -> DataFrame:
+        """Some of ``edges`` with their reasons."""
+        return scoring.explained(edges, self._sides, self.config).select("a", "b", "kind", "score", "reasons")
+
+    @cached_property
+    def _clustered(self) -> tuple[DataFrame, DataFrame]:
+        apart = scoring.oriented(self.constraints, "must-not-link")
+        if self.config.strict_refusals:
+            apart = apart.unionByName(self.edges.filter("route = 'refused'").select("a", "b")).distinct()
+        membership, blocked = clustering.clustered(self.matchable, self.edges.filter("route = 'accepted'"), apart)
+        return cut(membership), blocked
+
+    @cached_property
+    def membership(self) -> DataFrame:
+        return self._clustered[0]
+
+    def _placed(self, edges: DataFrame) -> DataFrame:
+        of_a, of_b = (self.membership.select(F.col("id").alias(c), F.col("cluster").alias(f"of_{c}")) for c in "ab")
+        return edges.join(of_a, "a").join(of_b, "b")
+
+    @cached_property
+    def refused(self) -> DataFrame:
+        """Pairs that a rule or a decision refused, and accepted ones that a decision kept apart."""
+        by_rule = self.explained(self.edges.filter("route = 'refused'"))
+        told = F.struct(F.lit("kept apart by a decision").alias("rule"), F.lit("refuse").alias("verdict"), F.concat(F.lit("the clusters would unite "), "against").alias("detail"), F.lit(None).cast("double").alias("weight"))
+        blocked = self._clustered[1]
+        stopped = self.explained(self.edges.filter("route = 'accepted'").join(blocked.select("a", "b"), ["a", "b"], "left_semi")).join(blocked, ["a", "b"])
+        stopped = stopped.select("a", "b", F.lit("refused").alias("kind"), "score", F.concat("reasons", F.array(told)).alias("reasons"))
+        return by_rule.unionByName(stopped).orderBy("a", "b")
+
+    @cached_property
+    def review(self) -> DataFrame:
+        """Pairs for a person to decide, those left out whose rows are in one cluster by now."""
+        still = self._placed(self.edges.filter("route = 'review'")).filter("of_a <> of_b").drop("of_a", "of_b")
+        return self.explained(still).orderBy(F.col("score").desc(), "a", "b")
+
+    @cached_property
+    def below(self) -> DataFrame:
+        return self.explained(self.edges.filter("route = 'below'")).orderBy(F.col("score").desc(), "a", "b")
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        """People: rows, edges that hold them together, and the surviving fields with their proof."""
+        linked = scoring.oriented(self.constraints, "link").withColumn("by_hand", F.lit(True))
+        inside = self._placed(self.edges.filter("route = 'accepted'")).filter("of_a = of_b").select("a", "b", F.col("of_a").alias("cluster"))
+        inside = self.explained(self.edges.filter("route = 'accepted'")).join(inside, ["a", "b"]).join(linked, ["a", "b"], "left")
+        edge = F.struct("a", "b", "kind", "score", "reasons")
+        of_cluster = inside.groupBy("cluster").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.max(F.coalesce("by_hand", F.lit(False))).alias("by_hand"))
+        members = self.membership.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("member_ids"), F.count("*").alias("row_count"))
+        won = survivorship.canonical(survivorship.winners(survivorship.candidates(self.matchable, self.membership), self.config.source_trust))
+        strength = F.when(F.col("row_count") == 1, F.lit("singleton")).when(F.coalesce("by_hand", F.lit(False)), F.lit("human-linked")).otherwise(F.lit("authoritative"))
+        found = members.join(of_cluster, "cluster", "left").join(won, "cluster", "left")
+        found = found.select(F.concat(F.lit("c-"), "cluster").alias("id"), "cluster", "member_ids", "row_count", strength.alias("strength"), "edges", *FIELDS, "provenance", F.coalesce("conflict_count", F.lit(0)).alias("conflict_count"))
+        return cut(found).orderBy("id")
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        """Only the people that more than one row told of."""
+        return self.clusters.filter("row_count > 1")
 
     @cached_property
     def metrics(self) -> dict:
         """Counts, rates, and, with labels, precision and recall."""
-        held, n = self.quarantined.count(), self.rows.count()
+        n, held = self.records.agg(F.count("*"), F.count("held_reason")).first()
         people = self.clusters.agg(F.count("*").alias("clusters"), F.count_if(F.col("row_count") > 1).alias("merged"), F.sum("row_count").alias("rows"), F.sum(F.expr("row_count * (row_count - 1) div 2")).alias("pairs"), F.sum("conflict_count").alias("conflicts")).first()
         matchable, compared = people.rows or 0, self.pairs.count()
         exhaustive = matchable * (matchable - 1) // 2
@@ -53,6 +142,7 @@ class Result:
             "conflicts": people.conflicts or 0, "comparisons": compared,
             "comparisonRatio": compared / exhaustive if exhaustive else 1.0,
             "skippedBlocks": [r.asDict() for r in self.skipped_blocks.collect()],
+            "decisions": {kind: 0 for kind in ("link", "must-not-link")} | {r.kind: r["count"] for r in self.constraints.groupBy("kind").count().collect()},
         }
         truth = metrics.true_pairs(self.rows)
         true = truth.count()
@@ -65,13 +155,14 @@ class Result:
 
     @cached_property
     def run_hash(self) -> str:
-        """Names the run by its settings, decisions and row ids, whatever their order."""
+        """Names the run by its settings, decisions and row ids, whatever their order and number.
+
+        Ids come as two digests that sums make of them, so none is sorted or collected.
+        """
         fixed = [r.asDict() for r in self.constraints.collect()]
         fixed = sorted(({k: v for k, v in c.items() if v is not None} for c in fixed), key=lambda c: (c["a"], c["b"]))
-        if self.rows.count() <= HASHED_IDS:
-            ids: object = sorted(r.id for r in self.rows.select("id").collect())
-        else:
-            ids = [int(x) for x in self.rows.agg(F.count("*"), F.bit_xor(F.xxhash64("id")), F.sum(F.xxhash64("id") % 1_000_000_007)).first()]
+        parts = [F.sum(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000_007)).cast("decimal(38,0)")) for seed in (1, 2)]
+        ids = [int(x or 0) for x in self.rows.agg(F.count("*"), *parts).first()]
         return content_hash({"config": self.config.described(), "constraints": fixed, "ids": ids})
 
     def summary(self) -> str:
@@ -106,57 +197,7 @@ def content_hash(value: object) -> str:
 
 def clean(rows: DataFrame, config: Config | None = None, constraints: DataFrame | None = None) -> Result:
     """Link ``rows`` (``id`` and the columns of ``schema.MAPPED``) under ``constraints``."""
-    config = config or Config()
-    rows = as_rows(rows)
-    decisions = as_constraints(constraints, rows)
-    every = cut(records.triaged(records.normalized(rows, config)))
-    records.require_unique(every)
-    held = every.filter(F.col("held_reason").isNotNull()).select("id", F.col("held_reason").alias("reason"))
-    matchable = every.filter(F.col("held_reason").isNull())
-
-    if config.blocking:
-        keys = blocking.keyed(matchable)
-        sizes = cut(blocking.block_sizes(keys))
-        pairs = cut(blocking.blocked_pairs(keys, sizes, config.max_block_size))
-        skipped = blocking.skipped(sizes, config.max_block_size)
-    else:
-        pairs = cut(blocking.all_pairs(matchable, config.exhaustive_limit))
-        skipped = rows.sparkSession.createDataFrame([], "key string, size long")
-
-    edges = cut(scoring.routed(pairs, matchable, decisions, config))
-    accepted = edges.filter("route = 'accepted'")
-    apart = scoring.oriented(decisions, "must-not-link")
-    if config.strict_refusals:
-        apart = apart.unionByName(edges.filter("route = 'refused'").select("a", "b")).distinct()
-    membership, blocked = clustering.clustered(matchable, accepted, apart)
-    membership = cut(membership)
-
-    stopped = accepted.join(blocked, ["a", "b"])
-    told = F.array(F.struct(F.lit("kept apart by a decision").alias("rule"), F.lit("refuse").alias("verdict"), F.concat(F.lit("the clusters would unite "), "against").alias("detail"), F.lit(None).cast("double").alias("weight")))
-    stopped = stopped.select("a", "b", F.lit("refused").alias("kind"), "score", F.concat("reasons", told).alias("reasons"))
-    refused = edges.filter("route = 'refused'").select("a", "b", "kind", "score", "reasons").unionByName(stopped).orderBy("a", "b")
-
-    of_a, of_b = (membership.select(F.col("id").alias(c), F.col("cluster").alias(f"of_{c}")) for c in "ab")
-    placed = edges.join(of_a, "a").join(of_b, "b")
-    open_ = placed.filter("route = 'review' AND of_a <> of_b").select("a", "b", "kind", "score", "reasons")
-    below = edges.filter("route = 'below'").select("a", "b", "kind", "score", "reasons")
-
-    linked = scoring.oriented(decisions, "link").withColumn("by_hand", F.lit(True))
-    inside = placed.filter("route = 'accepted' AND of_a = of_b").join(linked, ["a", "b"], "left")
-    edge = F.struct("a", "b", "kind", "score", "reasons")
-    of_cluster = inside.groupBy(F.col("of_a").alias("cluster")).agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.max(F.coalesce("by_hand", F.lit(False))).alias("by_hand"))
-    members = membership.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("member_ids"), F.count("*").alias("row_count"))
-    won = survivorship.canonical(survivorship.winners(survivorship.candidates(matchable, membership), config.source_trust))
-    strength = F.when(F.col("row_count") == 1, F.lit("singleton")).when(F.coalesce("by_hand", F.lit(False)), F.lit("human-linked")).otherwise(F.lit("authoritative"))
-    clusters = (
-        members.join(of_cluster, "cluster", "left")
-        .join(won, "cluster", "left")
-        .select(F.concat(F.lit("c-"), "cluster").alias("id"), "cluster", "member_ids", "row_count", strength.alias("strength"), "edges", *FIELDS, "provenance", F.coalesce("conflict_count", F.lit(0)).alias("conflict_count"))
-    )
-    return Result(
-        config, rows, decisions, every, held.orderBy("id"), pairs, skipped, edges, membership, cut(clusters).orderBy("id"),
-        open_.orderBy(F.col("score").desc(), "a", "b"), refused, below.orderBy(F.col("score").desc(), "a", "b"),
-    )
+    return Result(rows, config or Config(), constraints)
 
 
 def latest_decisions(decisions: DataFrame, order: str) -> DataFrame:

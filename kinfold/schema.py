@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of a lead row that the engine reads; all strings, all nullable.
+#: Columns of a lead row that the engine reads; all strings, all nullable.
 MAPPED = ("full_name", "first_name", "last_name", "email", "phone", "company", "website", "title", "source", "updated_at")
 ROWS = "id string, " + ", ".join(f"{c} string" for c in MAPPED) + ", raw map<string,string>, true_person_id string"
 CONSTRAINTS = "kind string, a string, b string, by string, note string"
 REASONS = "array<struct<rule:string,verdict:string,detail:string,weight:double>>"
 EDGES = f"a string, b string, kind string, score double, reasons {REASONS}"
-#: Fields of a surviving record, in the order of the output.
+#: Fields of a surviving record, in the order of the output.
 FIELDS = ("full_name", "email", "phone", "company", "domain", "title")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinfold.plans.clean import Result
 from kinfold.schema import FIELDS
 
+# The columns of the output files.
 CLEANED = ("person_id", "status", "row_count", "merged_from", "full_name", "email", "phone", "company", "domain", "title", "conflicts", "match_strength", "quarantine_reason")
 REVIEW = ("score", "decision", "row_a", "name_a", "email_a", "phone_a", "company_a", "row_b", "name_b", "email_b", "phone_b", "company_b", "reasons")
 
@@ -19,7 +20,7 @@ def _shown_name(row: str = "row") -> Column:
 
 
 def conflict_summary() -> Column:
-    """What each field kept, over what, and from which rows."""
+    """What each field kept, over what, and from which rows; the wording is a fixed value."""
 
     def one(field: str) -> Column:
         proof = F.col(f"provenance.{field}")
