@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import itertools
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
@@ -13,43 +10,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from kinfold.operators.cut import cut, shared_dir
+
+__all__ = ["WORD", "Remembered", "for_task", "hand_back", "parcels", "ragged", "runs", "settle", "shared_dir", "small_batches", "table"]
+
+#: Where lineage ends: a table written and read again.
+settle = cut
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_SERIAL = itertools.count()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder, not yet made, below the one all machines of the cluster share.
-
-    The parent is the session's ``spark.checkpoint.dir``. Only where that is unset and the
-    master is local, as in tests, is a temporary folder chosen and set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{next(_SERIAL)}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared folder and read again.
-
-    Later stages read the files, so what came before runs once, and a lost executor
-    costs no more than the tasks it was running.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of text that Spark hands to a worker at once: with long texts, its own 64 MB a batch
 #: stand several times in an executor's memory.
 BATCH_BYTES = 4 << 20

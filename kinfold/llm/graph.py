@@ -5,33 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import settle
+from kinfold.operators import clustering
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in ``links`` (a, b); a component is its smallest node.
-
-    Large-star and small-star steps by turns (Kiveris et al., 2014) until nothing changes;
-    each step sends a node's neighbours to its smallest one, so no list of neighbours is
-    ever gathered. Rounds grow with the logarithm of a component's diameter.
-    """
-    edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(edges)
-    while mark[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """A number and a digest that stay equal only while the edges do."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    """(node, component) of every node in ``links`` (a, b); a component is its smallest node."""
+    return clustering.components(links).select(F.col("id").alias("node"), "component")

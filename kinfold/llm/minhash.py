@@ -41,6 +41,9 @@ BANDS, ROWS = 40, 6
 #: Bits of the filter by which documents in no pair are skipped; its size is fixed.
 FILTER_BITS = 1 << 25
 
+#: Pairs of a hub that meet its set in one task, and hubs with more up to which (16 bytes each) all
+#: executors are told of them; beyond, Spark splits what is skewed.
+HUB, MOST_HUBS = 256, 1_000_000
 #: Nodes of a block in which a bucket of several components is compared.
 BLOCK = 1024
 #: How far below the threshold signatures of compared pairs may agree.
@@ -177,7 +180,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     whole = F.size("of_a") + F.size("of_b") - both
-    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= whole * percent).select("a", "b").distinct()
+    # A hub's pairs are dealt to parts of some HUB, each with the hub's set.
+    hubs = settle(pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB).alias("parts")).filter("parts > 1"))
+    if 0 < hubs.count() <= MOST_HUBS:
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        pairs = pairs.join(F.broadcast(hubs), "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), parts)).drop("parts")
+        right = right.join(F.broadcast(hubs), "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        met = pairs.join(right, ["b", "part"])
+    else:
+        met = pairs.join(right, "b")
+    return met.join(left, "a").filter(both * 100 >= whole * percent).select("a", "b").distinct()
 
 
 def _joining(group: pa.Table, percent: int, bands: int, rows: int) -> list[tuple[int, int]]:
