@@ -7,10 +7,13 @@ other part, and kept if it is precise enough; the rows it covers are set aside f
 The list becomes one conditional expression, so applying it needs no Python.
 
 Each step of growing is one aggregation over all labelled rows, whose result has a row for
-each statistic and bin; that is all the driver sees.
+each statistic and bin; that is all the driver sees. Cut points come from counts on a fixed
+grid, so they do not depend on how rows are dealt out.
 
 Null texts and texts without words have all statistics zero. Without labels of both kinds
-the list is empty and rejects nothing. Rows that repeat count as often as they occur.
+the list is empty and rejects nothing. Rows that repeat count as often as they occur, ties
+fall on the same side of a cut, an empty table gives no rows, and of columns with the names
+of statistics the text's own stay. A text of any length is counted whole, in one task.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ SHARES: dict[str, tuple[str, str]] = {
 
 #: Cut points of a statistic in each class, conditions of a rule, rules of a list.
 CUTS, MOST_CONDITIONS, MOST_RULES = 16, 3, 8
+#: A statistic x is counted at the place ln(1 + 1000 x) * 64 of a grid; some 1,500 places hold all.
+GRID = (1000.0, 64.0)
 #: Rejected share that a rule must reach on both parts, and rows it must reject.
 PRECISION, LEAST = 0.95, 3
 
@@ -113,14 +118,24 @@ def _gain(p0: float, n0: float, p: float, n: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
+def _quantiles(bars: list[tuple[int, int]]) -> list[float]:
+    """Values at ``CUTS`` even steps of (place on the grid, rows)."""
+    whole, out, upto = sum(n for _, n in bars), [], 0
+    for g, n in sorted(bars):
+        upto += n
+        while len(out) <= CUTS and upto * CUTS >= len(out) * whole:
+            out.append(math.expm1(g / GRID[1]) / GRID[0])
+    return out
+
+
 def learn(rows: DataFrame, reject: str = "reject") -> list[list[Condition]]:
     """The rules for ``rows`` with ``SHARES``, the boolean ``reject``, and the boolean ``grow``."""
     names = list(SHARES)
-    marks = [i / CUTS for i in range(CUTS + 1)]
-    found = rows.groupBy(reject).agg(*(F.percentile_approx(c, marks, 1000).alias(c) for c in names)).collect()
-    if len(found) < 2:
+    grid = F.array(*(F.round(F.log1p(F.col(c) * GRID[0]) * GRID[1]).cast("int") for c in names))
+    bars = rows.select(reject, F.posexplode(grid).alias("k", "g")).groupBy(reject, "k", "g").agg(F.count("*").alias("n")).collect()
+    if len({r[reject] for r in bars}) < 2:
         return []
-    seen = {c: sorted({x for r in found for x in r[c]}) for c in names}
+    seen = {c: sorted({x for y in (False, True) for x in _quantiles([(r.g, r.n) for r in bars if r.k == k and r[reject] == y])}) for k, c in enumerate(names)}
     cuts = {c: [(x + y) / 2 for x, y in pairwise(seen[c])] for c in names}  # half-way, for a margin to both sides
     bins = F.array(*(_bin(c, cuts[c]) for c in names))
     left = settle(rows.select(*names, F.col(reject).cast("int").alias("p"), (~F.col(reject)).cast("int").alias("n"), "grow", bins.alias("bins")))
