@@ -120,6 +120,24 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+# --- parts of operators that SQL can say ------------------------------------------------------
+
+
+def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 1 counts of every text, and its base checks."""
+    return op1_quality_rules(spark, sf_dir).drop("kept", "rejected_by")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of each base kind operator 2 finds in every text."""
+    return op2_pii_spans(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of operator 6."""
+    return op6_source_mix(spark, sf_dir).drop("taken")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -133,7 +151,45 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_toxicity,
         op10_minhash_dedup,
+        text_counts,
+        pii_counts,
+        mix_targets,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_REACH = "reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN ties e ON r.other = e.a), least_ AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"
+_LUHN = """list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(d), i, 1) AS INT)
+  ELSE 2 * CAST(substr(reverse(d), i, 1) AS INT) - CASE WHEN CAST(substr(reverse(d), i, 1) AS INT) > 4 THEN 9 ELSE 0 END END))"""
+_DIGITS = "list_transform(regexp_extract_all(coalesce(text, ''), '{0}'), lambda m: regexp_replace(m, '[^0-9]', '', 'g'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_nn_descent": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v,
+        embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound FROM embeddings),
+      ties AS (SELECT p.id AS a, q.id AS b FROM nodes p JOIN nodes q ON p.id <> q.id AND p.sound AND q.sound AND len(p.v) = len(q.v) AND list_cosine_similarity(p.v, q.v) >= 0.95), {_REACH}
+      SELECT id AS vec_id, (SELECT count(*) FROM ties WHERE a = id) AS n_links, component AS component_id, id = component AS kept FROM least_""",
+    "op10_minhash_dedup": f"""WITH RECURSIVE cut AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+      nodes AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM cut),
+      one AS (SELECT id, len(s) AS n, unnest(s) AS s FROM nodes),
+      met AS (SELECT p.id AS a, q.id AS b, p.n AS n, q.n AS m, count(*) AS both_ FROM one p JOIN one q ON p.s = q.s AND p.id <> q.id GROUP BY p.id, q.id, p.n, q.n),
+      ties AS (SELECT a, b FROM met WHERE 100 * both_ >= 80 * (n + m - both_)), {_REACH}
+      SELECT l.id AS doc_id, len(s) AS n_shingles, component AS component_id, l.id = component AS kept FROM least_ l JOIN nodes USING (id)""",
+    "text_counts": f"""WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+      lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM cut),
+      wins AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) AS k FROM cut),
+      again AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+      covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM again) GROUP BY doc_id),
+      n AS (SELECT c.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM cut c JOIN lines USING (doc_id) LEFT JOIN covered v USING (doc_id))
+      SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM n""",
+    "pii_counts": f"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+')) AS n_email,
+      len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)'), lambda m: len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS INT), 0) > 255)) = 0)) AS n_ip,
+      len(list_filter({_DIGITS.format('[0-9]([ -]?[0-9])+')}, lambda d: length(d) BETWEEN 13 AND 19 AND {_LUHN} % 10 = 0)) AS n_card,
+      len(list_filter({_DIGITS.format('[+][0-9][ ().0-9-]+[0-9]')}, lambda d: length(d) BETWEEN 9 AND 15)) AS n_phone FROM documents""",
+    "mix_targets": f"""WITH sized AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+      w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 2.0 * CAST(source_size AS DOUBLE) AS cap, 1.5 * CAST(sum(source_size) OVER () AS DOUBLE) AS whole FROM s),
+      o AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k FROM w),
+      r AS (SELECT o.*, (whole - coalesce((SELECT sum(cap) FROM o p WHERE p.k < o.k), 0)) / (SELECT sum(w) FROM o p WHERE p.k >= o.k) AS each FROM o),
+      l AS (SELECT (SELECT each FROM r WHERE cap > each * w ORDER BY k LIMIT 1) AS level)
+      SELECT doc_id, size, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM sized JOIN r ON sized.source IS NOT DISTINCT FROM r.source, l""",
+}
