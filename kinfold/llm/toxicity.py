@@ -57,7 +57,7 @@ MARKS, FULL = 32, 24
 #: Bits of the filter by which words that no entry is about stay out of the join; its size is fixed.
 FILTER_BITS = 1 << 25
 #: Stand-ins: what comes before the first word, and "any" in an entry about a word or a context alone.
-START, ANY = -1, -2
+START, ANY = (1 << 48) - 1, (1 << 48) - 2
 
 
 @lru_cache(maxsize=1)
@@ -118,12 +118,16 @@ def contexts(rows: DataFrame) -> DataFrame:
                     upper = np.where(toxic, np.int64(MARKS), np.int64(0))[order]
                     counts = np.add.reduceat(np.where(once, np.int64(1) << upper, 0), starts)
                     seen = np.bitwise_or.reduceat(np.int64(1) << (bit[order] + upper), starts)
-                    columns = [u[order][starts], w[order][starts], counts, seen]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["u", "w", "counts", "seen"])
+                    u, w = u[order][starts], w[order][starts]
+                    columns = [u << 16 | w >> 32, (w & 0xFFFFFFFF).astype(np.uint32).view(np.int32), counts, seen]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["high", "low", "counts", "seen"])
 
-    found = rows.select("text", "label").mapInArrow(met, "u long, w long, counts long, seen long")
-    summed = found.groupBy("u", "w").agg(F.sum("counts").alias("counts"), F.bit_or("seen").alias("seen"))
+    # The two ids take 12 bytes of a row that is dealt out.
+    found = rows.select("text", "label").mapInArrow(met, "high long, low int, counts long, seen long")
+    summed = found.groupBy("high", "low").agg(F.sum("counts").alias("counts"), F.bit_or("seen").alias("seen"))
     low = F.lit((1 << MARKS) - 1)
+    u = F.shiftrightunsigned("high", 16)
+    w = F.shiftleft(F.col("high").bitwiseAND(F.lit(0xFFFF).cast("long")), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(low))
 
     def effective(counts: Column, seen: Column) -> Column:
         bits = F.bit_count(seen)
@@ -131,7 +135,7 @@ def contexts(rows: DataFrame) -> DataFrame:
         return F.when(bits >= FULL, counts).otherwise(F.least(counts, apart)).cast("double")
 
     toxic = effective(F.shiftrightunsigned("counts", MARKS), F.shiftrightunsigned("seen", MARKS))
-    return summed.select("u", "w", toxic.alias("toxic"), effective(F.col("counts").bitwiseAND(low), F.col("seen").bitwiseAND(low)).alias("ordinary"))
+    return summed.select(u.alias("u"), w.alias("w"), toxic.alias("toxic"), effective(F.col("counts").bitwiseAND(low), F.col("seen").bitwiseAND(low)).alias("ordinary"))
 
 
 def _telling(toxic: Column, both: Column, share: Column, evidence: Column) -> Column:
@@ -149,13 +153,25 @@ class Model(NamedTuple):
 
 def learned(rows: DataFrame) -> Model:
     """The two models of ``rows`` (text, label), as far as they differ."""
-    return model_of(settle(contexts(rows)))
+    return model_of(contexts(rows))
 
 
 def model_of(pairs: DataFrame) -> Model:
-    """The two models from all pairs' counts (u, w, toxic, ordinary), as far as they differ."""
-    t, o = F.col("toxic"), F.col("ordinary")
-    words = settle(pairs.groupBy("w").agg(F.count_if(t > 0).cast("double").alias("toxic"), F.count_if(o > 0).cast("double").alias("ordinary")))
+    """The two models from all pairs' counts (u, w, toxic, ordinary), as far as they differ.
+
+    Pairs are read once, for the sums by word and by context and for the pairs that can tell:
+    those twice in toxic texts, or more often at all than chance leaves without toxic ones.
+    Most pairs occur once, so what is written is far less than they are.
+    """
+    t, o, none = F.col("toxic"), F.col("ordinary"), F.lit(ANY).cast("long")
+
+    def part(u: Column, w: Column, x: Column, y: Column) -> Column:
+        return F.struct(u.alias("u"), w.alias("w"), x.cast("double").alias("toxic"), y.cast("double").alias("ordinary"))
+
+    u, w = F.col("u"), F.col("w")
+    parts = F.array_compact(F.array(part(none, w, t > 0, o > 0), part(u, none, t, o), F.when((t >= 2) | (t + o > SURE * SURE), part(u, w, t, o))))
+    sums = settle(pairs.select(F.explode(parts).alias("p")).select("p.*").groupBy("u", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    words = sums.filter(u == ANY).drop("u")
     of_t, of_o = words.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not of_t or not of_o:
         return Model(None, 0.0)
@@ -171,11 +187,10 @@ def model_of(pairs: DataFrame) -> Model:
     rest_t, rest_o = ((1 - x) / max(1 - in_shared, 1e-9) for x in (in_t, in_o))  # what is left, for shared counts
     rest = math.log(max(rest_t, 1e-9) / max(rest_o, 1e-9))
 
-    after = pairs.groupBy("u").agg(F.sum("toxic").alias("all_t"), F.sum("ordinary").alias("all_o"))
-    pairs_t, pairs_o = pairs.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    after = sums.filter(w == ANY).select("u", t.alias("all_t"), o.alias("all_o"))
+    pairs_t, pairs_o = after.agg(F.sum("all_t"), F.sum("all_o")).first()
     share = pairs_t / (pairs_t + pairs_o)
-    # Twice in toxic texts, or more often at all than chance leaves without toxic ones, is the least that can tell.
-    some = _met(pairs.filter((t >= 2) | (both > SURE * SURE)), after, "u")
+    some = _met(sums.filter((u != ANY) & (w != ANY)), after, "u")
     k = 1 + SHARED * min(share, 1 - share) * (F.col("all_t") + F.col("all_o"))
     together = (both - DISCOUNT) / (F.col("all_t") + F.col("all_o"))
 
@@ -203,8 +218,9 @@ def model_of(pairs: DataFrame) -> Model:
 
 
 def _met(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with one row for each ``key``; common keys are dealt out in ``SALTS`` parts."""
-    salted = by_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    """``rows`` (few of all) joined with one row for each ``key``; common keys are dealt out in ``SALTS`` parts."""
+    asked = by_key.join(rows.select(key).distinct(), key, "left_semi")
+    salted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64("u", "w"), F.lit(SALTS))).join(salted, [key, "_salt"], how).drop("_salt")
 
 
