@@ -47,8 +47,8 @@ REMEMBERED_BYTES, ENTRY_BYTES = 24 << 20, 160
 class Remembered(dict):
     """Values by key, as a dictionary that ``trim`` empties beyond ``limit`` bytes.
 
-    ``grew`` is told what is entered. Each task begins with an empty memory and leaves one,
-    see ``for_task``; so memories of operators that a worker runs by turns don't add up.
+    ``grew`` is told what is entered. Tasks take a memory by ``for_task``, so that those of
+    operators that a worker runs by turns don't add up.
     """
 
     limit = REMEMBERED_BYTES
@@ -76,13 +76,26 @@ def hand_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_KEPT: list[Remembered] = []
+
+
 @contextmanager
-def for_task(memory: Remembered) -> Iterator[Remembered]:
-    """``memory`` for one task: empty afterwards, as workers live on from stage to stage."""
+def for_task(memory: Remembered, keep: bool = False) -> Iterator[Remembered]:
+    """``memory`` for one task, empty afterwards, as workers live on from stage to stage.
+
+    With ``keep`` it stays, within its limit, until a task of another operator begins in the
+    worker: for memories that cost much to fill.
+    """
+    for other in _KEPT:
+        if other is not memory:
+            other.clear()
     try:
         yield memory
     finally:
-        memory.clear()
+        if not keep:
+            memory.clear()
+        elif not any(m is memory for m in _KEPT):
+            _KEPT.append(memory)
         hand_back()
 
 

@@ -153,13 +153,14 @@ class WordMemory(Remembered):
 
     A vocabulary that drops white space never joins what it parts: no normalisation, special
     string or piece reaches over an ASCII white-space character, so a text's identifiers are
-    those of its stretches in a row. As the vocabulary lower-cases, stretches of ASCII are
-    asked for in lower case, unless the text may hold a special string; marks at the end of
-    letters are a piece of their own. New runs of letters go to the library many at a time
+    those of its stretches in a row. As the vocabulary lower-cases, A to Z are asked for in
+    lower case, unless the text may hold a special string; marks at the end of letters are a
+    piece of their own. New runs of letters go to the library many at a time
     and are told apart by the identifiers that end a word.
     """
 
     MARKS = b".,!?;:()|*$%&#"
+    limit = 192 << 20
 
     def __init__(self, file: bytes):
         super().__init__()
@@ -176,25 +177,20 @@ class WordMemory(Remembered):
 
     @staticmethod
     def stretches(raw: bytes) -> list[bytes]:
-        if b"<|" in raw:
-            return raw.split()
-        if raw.isascii():
-            return raw.lower().split()
-        return [w.lower() if w.isascii() else w for w in raw.split()]
+        return raw.split() if b"<|" in raw else raw.lower().split()  # bytes lower A to Z alone
 
     @staticmethod
     def one_piece(word: bytes) -> bool:
         """Whether a word is letters, and stays so in lower case, where some become letter and mark."""
+        if word.isascii():
+            return word.isalpha()
         text = word.decode()
-        return text.isalpha() and (word.isascii() or text.lower().isalpha())
+        return text.isalpha() and text.lower().isalpha()
 
     def packed(self, ids) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        letters, others = [], []
-        for w in words:
-            (letters if self.one_piece(w) else others).append(w)
+    def _learn(self, letters: list[bytes], others: list[bytes]) -> None:
         for a in range(0, len(letters), 1000):
             some = letters[a : a + 1000]
             ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
@@ -211,19 +207,25 @@ class WordMemory(Remembered):
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [self.stretches(t) for t in texts]
         new = set().union(*cut).difference(self)
-        marked = {}
+        letters, others, marked = set(), set(), {}
         for w in new:
+            if self.one_piece(w):
+                letters.add(w)
+                continue
             core = w.rstrip(self.MARKS)
             if len(core) < len(w) and self.one_piece(core):
                 marked[w] = core, w[len(core) :]
-        parts = {p for pair in marked.values() for p in pair}
-        self._learn([w for w in (new - marked.keys()) | parts if w not in self])
+                letters.add(core)
+                others.add(w[len(core) :])
+            else:
+                others.add(w)
+        added = (letters | others).difference(self)
+        self._learn([w for w in letters if w not in self], [w for w in others if w not in self])
         for w, (core, marks) in marked.items():
             self[w] = self[core] + self[marks]
         get = self.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
-        added = new | parts
-        self.grew(2 * sum(map(len, added)), len(added))
+        self.grew(2 * (sum(map(len, added)) + sum(map(len, marked))), len(added) + len(marked))
         self.trim()
         return out
 
@@ -248,7 +250,7 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
         file = spark.sparkContext.broadcast(f.read())
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with for_task(_word_memory(file.value)) as memory:
+        with for_task(_word_memory(file.value), keep=True) as memory:
             yield from framed(batches, memory, TaskContext.get().partitionId())
 
     def framed(batches: Iterator[pa.RecordBatch], memory: WordMemory, part: int) -> Iterator[pa.RecordBatch]:
@@ -258,7 +260,7 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
         fs, root = open_folder(folder)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in parcels(batch.column(1)):
+            for first, texts in parcels(batch.column(1), 1 << 22):
                 rows = [
                     struct.pack(_HEAD, 0 if i is None else 1, width, i or 0) + ids_of + end
                     for i, ids_of in zip(ids[first : first + len(texts)], memory.encode(texts), strict=True)
