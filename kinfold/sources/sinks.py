@@ -73,6 +73,11 @@ def audit(result: Result) -> str:
     return json.dumps({"runHash": result.run_hash, "config": result.config.described(), "constraints": decisions, "metrics": result.metrics, **tables}, indent=2, ensure_ascii=False)
 
 
+def response(result: Result) -> dict:
+    """All that one request is answered with, ready to be sent as JSON. For runs that fit a file."""
+    return json.loads(audit(result)) | {"summary": result.summary(), "files": {"cleaned.csv": csv_text(cleaned(result)), "review.csv": csv_text(review(result))}}
+
+
 def write_audit(result: Result, folder: str) -> None:
     """The same for runs of any size: a folder of JSON lines for each table."""
     for name, df in (("clusters", result.clusters), ("review", result.review), ("refused", result.refused), ("quarantined", result.quarantined), ("constraints", result.constraints)):

@@ -35,7 +35,9 @@ def new_edges(batch: DataFrame, known: DataFrame, config: Config | None = None,
     pairs = blocking.blocked_pairs(keys, blocking.block_sizes(keys), config.max_block_size)
     a, b = (batch.select(F.col("id").alias(c), F.lit(True).alias(f"new_{c}")) for c in "ab")
     touched = pairs.join(a, "a", "left").join(b, "b", "left").filter("new_a OR new_b").select("a", "b")
-    return scoring.routed(touched, every, as_constraints(constraints, batch), config)
+    sides = scoring.sides(every)
+    found = scoring.routed(touched, sides, as_constraints(constraints, batch), config)
+    return scoring.explained(found, sides, config).select("a", "b", "kind", "score", "reasons", "route")
 
 
 def link_stream(stream: DataFrame, store: str, edges: str, checkpoint: str, config: Config | None = None):

@@ -120,6 +120,18 @@ def test_sinks(spark, run, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "review")).count() == review.count()
 
 
+def test_response(spark):
+    rows, config, decisions = R.request(spark, {"csv": "Name,Email\nNora Whitfield,nora@mailbox.example\nN. Whitfield,Nora+x@mailbox.example\n", "config": {"review_threshold": 0.9}})
+    said = sinks.response(clean(rows, config, decisions))
+    assert json.loads(json.dumps(said)) == said and said["config"]["reviewThreshold"] == 0.9
+    assert [c["member_ids"] for c in said["clusters"]] == [["r1", "r2"]] and said["metrics"]["decisions"] == {"link": 0, "must-not-link": 0}
+    assert said["files"]["cleaned.csv"].count("\r\n") == 2 and said["files"]["review.csv"].count("\r\n") == 1
+
+
+def test_merged_only(run):
+    assert {r.id for r in run.merged.collect()} == {"c-a01", "c-b01", "c-i01"}
+
+
 def test_hash_and_upserts(spark):
     assert content_hash("") == content_hash("") != content_hash([])
     assert content_hash({"b": 1, "a": 2.0}) == content_hash({"a": 2, "b": 1})
