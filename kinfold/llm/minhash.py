@@ -20,7 +20,10 @@ long text costs memory for the hashes of its own words only.
 
 What is dealt out by a key that many rows share, a common bucket or the hub of a large
 group, is an inner join whose large side Spark splits when it is skewed; counts are summed
-before they are dealt, and comparisons go by blocks of ``BLOCK`` nodes.
+before they are dealt, and comparisons go by blocks of ``BLOCK`` nodes. Tables that come
+out of a join much smaller than what it reads are rebalanced before they are written: a file
+for each of the join's tasks costs more than its rows, on a local disk without Hadoop's
+native library three processes.
 """
 
 from __future__ import annotations
@@ -262,14 +265,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     of_set = base.filter("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     spread = settle(of_set.select("node", "n", F.explode("buckets").alias("bucket")))
     met = spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("bucket", "hub", "m")
-    shared = settle(spread.join(met, "bucket"))
+    shared = settle(spread.join(met, "bucket").hint("rebalance"))
 
     def sized(n: str, m: str):
         return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
     stars = settle(shared.filter((F.col("node") != F.col("hub.node")) & sized("n", "hub.n")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
     ends = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id")))
-    links = settle(_confirmed(stars, _sets(named, ends, width), percent))
+    links = settle(_confirmed(stars, _sets(named, ends, width), percent).hint("rebalance"))
     parts = components(links)
 
     # Buckets in which more than one component is left.

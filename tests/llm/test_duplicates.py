@@ -48,6 +48,31 @@ def test_pairs_that_the_smallest_does_not_link(spark):
     assert {r.id: r.component for r in minhash.classes(docs).collect()} == want
 
 
+def test_files_by_the_size_of_what_is_written(spark, monkeypatch):
+    """Links are few bytes, the sets they are confirmed on are many: no file for each task of that join."""
+    texts = [" ".join(f"{g}w{i}" for i in range(400)) for g in range(60)]
+    docs = spark.createDataFrame([(2 * g + k, t + " end" * k) for g, t in enumerate(texts) for k in (0, 1)], "doc_id long, text string")
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    files, kept = [], minhash.settle
+    monkeypatch.setattr(minhash, "settle", lambda df: (files.append((df.columns, out := kept(df))), out)[1])
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.id: r.component for r in minhash.classes(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 2 for i in range(120)}
+    assert [len(t.inputFiles()) for columns, t in files if columns == ["a", "b"]] == [1, 1]
+
+
 def test_edges_of_minhash(edge_docs):
     got = minhash.classes(edge_docs).collect()
     assert len(got) == edge_docs.count()
